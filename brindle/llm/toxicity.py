@@ -130,7 +130,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries from two of three documents, thresholds and weights from the rest."""
     if not toxic or not ordinary:
         # nothing to compare with: all documents score low
-        return Model(b"", b"", np.array([0.0] * 6 + [-5.0]), np.zeros(6), np.ones(6))
+        return Model(HEAD, HEAD, np.array([0.0] * 6 + [-5.0]), np.zeros(6), np.ones(6))
     fit = [[t for i, t in enumerate(texts) if len(texts) < 3 or i % 3] for texts in (toxic, ordinary)]
     tune = [[t for i, t in enumerate(texts) if len(texts) < 3 or i % 3 == 0] for texts in (toxic, ordinary)]
     df = [Counter(), Counter()]
