@@ -52,3 +52,13 @@ def stage(elapsed: Column, whole: int = 3000, pause: int = 400) -> Column:
 
 def scroll_by(width: Column, direction: Column) -> Column:
     return F.coalesce(width + 20, F.lit(320)) * direction
+
+
+def random_width(seed: int) -> Column:
+    """A whole number from 50 to 89."""
+    return (F.floor(F.rand(seed) * 40) + 50).cast("int")
+
+
+def wrapped(index: Column, items: Column) -> Column:
+    """The item at an index that starts over at the end."""
+    return F.get(items, F.pmod(index, F.size(items)))

@@ -62,3 +62,13 @@ def lines(df: DataFrame, owner: str, order: str, line: Column) -> DataFrame:
     """Each owner's lines as one text, in order."""
     collected = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line"))))
     return df.groupBy(owner).agg(F.array_join(F.transform(collected, lambda x: x["line"]), "\n").alias("text"))
+
+
+def all_or_none(df: DataFrame, key: str, every: bool) -> DataFrame:
+    """A selection of all rows, or of none."""
+    return df.select(key) if every else df.select(key).limit(0)
+
+
+def placeholders(df: DataFrame, n: int) -> DataFrame:
+    """n numbered rows."""
+    return df.sparkSession.range(n).select(F.col("id").cast("int").alias("position"))

@@ -178,3 +178,30 @@ def test_toggles(spark):
     log = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "a")], "seq int, k string")
     got = cart.toggled(log, ["k"], [F.col("seq")]).orderBy("last").collect()
     assert [r.k for r in got] == ["b", "c", "a"]
+
+
+def test_sinks(spark, tmp_path):
+    from brindle.sources import sinks
+
+    items = spark.createDataFrame([(1, 1, "p2", "b", None, None, None), (1, 0, "p1", "a", "s", "o", "i"), (2, 0, "p3", "c", None, None, None)], "owner int, seq int, id string, name string, spec string, origin string, image string")
+    sinks.save_lists(items, "owner", "seq", str(tmp_path / "lists"))
+    back = sinks.load_lists(spark.read.parquet(str(tmp_path / "lists")), "owner").orderBy("owner", "position").collect()
+    assert [(r.owner, r.position, r.id, r.spec) for r in back] == [(1, 0, "p1", "s"), (1, 1, "p2", None), (2, 0, "p3", None)]
+    form = {f: "x" for f in sinks.FORM}
+    forms = spark.createDataFrame([{**form, "email": "a@b.example"}, {**form, "email": "none"}, {**form, "email": "a@b.example", "name": " "}])
+    sinks.append_forms(forms, str(tmp_path / "forms"))
+    sinks.append_forms(forms, str(tmp_path / "forms"))
+    assert spark.read.parquet(str(tmp_path / "forms")).count() == 2
+    sinks.append_reports(spark.createDataFrame([("boundary", {"route": "/"})], "source string, context map<string,string>"), str(tmp_path / "reports"))
+    assert spark.read.json(str(tmp_path / "reports")).count() == 1
+
+
+def test_small_rules(spark, products):
+    assert cart.all_or_none(products, "id", True).count() == 6 and cart.all_or_none(products, "id", False).count() == 0
+    assert [r.position for r in cart.placeholders(products, 5).collect()] == [0, 1, 2, 3, 4]
+    widths = [r[0] for r in spark.range(200).select(numbers.random_width(3)).collect()]
+    assert min(widths) >= 50 and max(widths) <= 89
+    got = products.select("ord", numbers.wrapped(F.col("ord"), F.col("gallery")).alias("x"), F.col("gallery")).collect()
+    assert all(r.x == r.gallery[r.ord % 4] for r in got)
+    df = spark.createDataFrame([(None, 1), (300, -1)], "w int, d int")
+    assert [r[0] for r in df.select(numbers.scroll_by(F.col("w"), F.col("d"))).collect()] == [320, -320]
