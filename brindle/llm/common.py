@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +57,29 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, after this package has been sent to the executors once.
+
+    Spark's file server hands the archive out, so executors need no copy of the
+    repository and no folder shared with the driver.
+    """
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="brindle-package-")  # the driver's own; it serves the file from here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/{package.name}-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(f, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -74,3 +102,16 @@ def text_or_empty(col: str | Column) -> Column:
 
 def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(WORD)).cast("long")
+
+
+def hash_sample(df: DataFrame, n: int, *ids: str, total: int | None = None) -> DataFrame:
+    """The n rows, of about ``total``, with the least hash of their ids; equal ones in the order of all ids.
+
+    In a large table only rows with a hash low enough for some 8 n rows are
+    sorted, so what tasks hand on for sorting does not grow with the table.
+    """
+    key = F.shiftrightunsigned(F.xxhash64(*ids), 1)
+    total = df.count() if total is None else total
+    if total > 8 * n:
+        df = df.where(key < (1 << 63) * 8 * n // total)
+    return df.orderBy(key, *ids).limit(n)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import map_arrow
+
 Q, EDITS = 10, 0.06
 #: Characters of the items that are held by a task at once.
 BLOCK_CHARS = 4_000_000
@@ -224,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
-        part = docs.mapInArrow(run, schema)
+        part = map_arrow(docs, run, schema)
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -239,5 +241,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not t.is_valid or not items.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_arrow(docs, run, schema)
     return docs

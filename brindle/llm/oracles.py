@@ -63,4 +63,22 @@ SELECT doc_id, size, source_size, target,
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op2_warc": _WARC, "op6_mixing": _MIXING}
+_JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id, doc_id AS at FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.at) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": _WARC, "op5_ngram_jaccard": _JACCARD, "op6_mixing": _MIXING}

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import map_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 #: Training reads at most so many documents, the first by hash of their id, and
 #: so many characters of each. Decoding has no such bound.
@@ -376,7 +378,7 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 )
 
     kind = "array<struct<kind:string,start:long,end:long,value:string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, base {kind}, added {kind}, base_sha256 string, spans string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, base {kind}, added {kind}, base_sha256 string, spans string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

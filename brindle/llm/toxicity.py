@@ -30,6 +30,8 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import map_arrow
+
 #: Training reads at most this many documents of each label, those with the
 #: least hash of their id, and at most this many characters of each.
 SAMPLE_DOCS = 3000
@@ -217,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, "score"])
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return df.mapInArrow(run, "doc_id long, text string, score double")
+    return map_arrow(df, run, "doc_id long, text string, score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,4 +240,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([m.score(x.as_py() or "") < REJECT_AT for x in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

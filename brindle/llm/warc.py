@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import new_path, written
+from brindle.llm.common import map_arrow, new_path, written
 
 #: Smaller payloads are always stored.
 LEAST_SHARED = 100
@@ -125,7 +125,7 @@ def write(pages: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
     rows = planned(pages).withColumn("url_key", url_key(F.col("url"))).select("page_id", "url", "url_key", "html", "payload_digest", "refers_to")
-    members = rows.mapInArrow(run, "member binary")
+    members = map_arrow(rows, run, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", LATIN).option("encoding", "ISO-8859-1").text(path)
 
 
@@ -160,7 +160,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
             yield _batch([(number, *r) for r in rows[at : at + 10_000]], "run int, " + INDEX)
 
     members = spark.read.option("lineSep", LATIN).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("member"))
-    return members.mapInArrow(run, "run int, " + INDEX)
+    return map_arrow(members, run, "run int, " + INDEX)
 
 
 class LoserTree:
@@ -231,7 +231,7 @@ def merged(runs: DataFrame) -> DataFrame:
 
     order = ["url_key", "captured", "page_id"]
     ranged = runs.repartitionByRange(parts, *order).sortWithinPartitions("run", *order)
-    out = written(ranged.select("run", *_FIELDS).mapInArrow(run, "part int, at long, " + INDEX), "histories")
+    out = written(map_arrow(ranged.select("run", *_FIELDS), run, "part int, at long, " + INDEX), "histories")
     # a row for each range
     counts = out.groupBy("part").agg(F.count("*").alias("rows"))
     start = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -84,3 +84,15 @@ def test_loser_tree():
 def test_keys_follow_urls():
     assert urlsplit("http://x.example/a").netloc == "x.example"
     assert brute_key("https://www.b.a.example/p?q#f") == "example,a,b)/p?q"
+
+
+def test_sql_tells_the_same(spark, sf):
+    import duckdb
+
+    from tests.test_queries import TABLES, same
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        same(queries.QUERIES[name](spark, sf), con, sql)
