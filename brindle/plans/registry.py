@@ -140,10 +140,10 @@ def dictionary_and_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, list_filter([CASE WHEN trim(coalesce(role, '')) = '' THEN 'role' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'text' END,
-  CASE WHEN NOT regexp_matches(role, '^[^\\s@]+@[^\\s@]+$') THEN 'email format' END], lambda x: x IS NOT NULL) AS problems FROM conversations""")
+SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(coalesce(role, '')) = '' THEN 'role' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'text' END,
+  CASE WHEN NOT regexp_matches(role, '^[^\\s@]+@[^\\s@]+$') THEN 'email format' END], lambda x: x IS NOT NULL), ',') AS problems FROM conversations""")
 def form_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.form_problems(_read(spark, sf_dir, "conversations"), ["role", "text"], "role").select("conv_id", "turn", "problems")
+    return filters.form_problems(_read(spark, sf_dir, "conversations"), ["role", "text"], "role").select("conv_id", "turn", F.array_join("problems", ",").alias("problems"))
 
 
 # --- marks and lists -------------------------------------------------------
