@@ -30,12 +30,12 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_arrow
+from brindle.llm.common import hash_sample, map_arrow
 
 #: Training reads at most this many documents of each label, those with the
 #: least hash of their id, and at most this many characters of each.
 SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 50_000
+SAMPLE_CHARS = 20_000
 #: Bytes of the part of a dictionary that both share and of the part of its own.
 SHARED_BYTES, OWN_BYTES = 6144, 3072
 #: Windows hold at most so many characters of a word, and overlap by half.
@@ -195,16 +195,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     chosen = None
     for toxic in (1, 0):
-        part = known.where(F.col("toxic") == toxic).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+        part = hash_sample(known.where(F.col("toxic") == toxic).distinct(), SAMPLE_DOCS, "doc_id")
         chosen = part if chosen is None else chosen.unionAll(part)
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r.toxic, zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or "") for r in texts.toLocalIterator())
-    seen, by = set(), {0: [], 1: []}
-    for toxic, _, doc_id, text in rows:
-        if doc_id not in seen:
-            seen.add(doc_id)
-            by[toxic].append(text)
+    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    by = {0: [], 1: []}
+    for r in sorted(texts.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+        by[r.toxic].append(r.text or "")
     return train(by[1], by[0])
 
 
