@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from brindle.llm.licenses import RULES, SENTENCES
+
 #: Words are runs of characters other than ASCII white space.
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -81,4 +83,38 @@ p AS MATERIALIZED (
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.at) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
 """
 
-ORACLES: dict[str, str] = {"op2_warc": _WARC, "op5_ngram_jaccard": _JACCARD, "op6_mixing": _MIXING}
+
+
+def _licenses() -> str:
+    """Sentences by two replacements, then one step for each rule."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in SENTENCES.items())
+    normal = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
+    steps = []
+    for i, (name, seq) in enumerate(RULES):
+        key = quoted("".join(f"<{x}>" for x in seq))
+        steps.append(f"r{i + 1} AS (SELECT doc_id, row, ids, replace(rest, {key}, '#') AS rest, CASE WHEN contains(rest, {key}) THEN list_append(found, {quoted(name)}) ELSE found END AS found FROM r{i})")
+    return f"""
+WITH known(id, sentence) AS (VALUES {known}),
+d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+s AS (
+  SELECT row, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (
+    SELECT row, string_split(regexp_replace(regexp_replace(text, '([.!?:;])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(30), 'g'), '\\n[ \\t\\r]*\\n', chr(30), 'g'), chr(30)) AS x FROM d
+  )
+), w AS (SELECT s.*, k.id FROM s LEFT JOIN known k ON k.sentence = {normal.format("s.s")}),
+l AS (SELECT row, i, unnest(y) AS line, generate_subscripts(y, 1) AS j FROM (SELECT row, i, string_split(s, chr(10)) AS y FROM w WHERE id IS NULL)),
+f AS (
+  SELECT row, i, 0 AS j, id FROM w WHERE id IS NOT NULL
+  UNION ALL SELECT l.row, l.i, l.j, k.id FROM l JOIN known k ON k.sentence = {normal.format("l.line")}
+), g AS (SELECT row, list(id ORDER BY i, j) AS ids FROM f GROUP BY row),
+r0 AS (
+  SELECT doc_id, d.row, coalesce(ids, []) AS ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest, CAST([] AS VARCHAR[]) AS found
+  FROM d LEFT JOIN g USING (row)
+), {", ".join(steps)}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentences,
+       coalesce(array_to_string(list_sort(list_distinct(found)), ','), '') AS licenses
+FROM r{len(RULES)}
+"""
+
+
+ORACLES: dict[str, str] = {"op2_warc": _WARC, "op5_ngram_jaccard": _JACCARD, "op6_mixing": _MIXING, "op8_licenses": _licenses()}
