@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_arrow
+from brindle.llm.common import hash_sample, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 #: Training reads at most so many documents, the first by hash of their id, and
@@ -350,8 +350,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def fit(docs: DataFrame) -> Tagger:
     """Train on windows of a bounded sample of the documents."""
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(F.length("text") > 0)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
+    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("length(text) > 0")
+    rows = hash_sample(rows, SAMPLE_DOCS, "doc_id", "text", total=docs.count()).collect()
     return Tagger().fit(*labelled([r.text for r in rows]))
 
 
