@@ -58,15 +58,20 @@ def drop_written(df: DataFrame) -> None:
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch at most: texts are long, and a batch lies in memory on both sides.
+BATCH_ROWS, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``df.mapInArrow``, after this package has been sent to the executors once.
 
     Spark's file server hands the archive out, so executors need no copy of the
-    repository and no folder shared with the driver.
+    repository and no folder shared with the driver. The session's Arrow batches
+    are set to BATCH_ROWS if they are larger or unbounded.
     """
-    context = df.sparkSession.sparkContext
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS, "10000")) <= BATCH_ROWS:
+        conf.set(_ROWS, str(BATCH_ROWS))
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         folder = tempfile.mkdtemp(prefix="brindle-package-")  # the driver's own; it serves the file from here
