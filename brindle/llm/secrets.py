@@ -3,8 +3,9 @@
 Patterns find the base spans. Besides, every long token is scored by the
 log-likelihood ratio of its character pairs under two first-order Markov models
 trained from labelled samples, one of random strings and one of ordinary
-identifiers; tokens whose mean ratio exceeds a threshold calibrated on the same
-kinds of samples, and that touch no base span, are added as kind ``random``.
+identifiers; tokens whose mean ratio, or that of any 64 characters in a longer
+one, exceeds a threshold calibrated on the same kinds of samples, and that touch
+no base span, are added as kind ``random``.
 All of it is built-in functions.
 
 Spans of a kind come from the text split at its matches: each start is the sum
@@ -33,7 +34,7 @@ ASSIGN_CUE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_ASSIGNED = 12
-#: Tokens that the models judge. Longer ones than MODEL_CHARS are judged by their first and last such part.
+#: Tokens that the models judge. Longer ones than MODEL_CHARS are judged by each part of that length.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 MODEL_CHARS = 64
 #: Documents, the first by hash of their id, and characters of each, from whose words ordinary identifiers are made; random strings made.
@@ -120,8 +121,9 @@ def samples(docs: DataFrame) -> DataFrame:
 
 def _pairs(s: Column) -> Column:
     """Index of each pair of neighbouring ASCII characters."""
-    code = lambda i: F.ascii(F.substr(s, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: code(i) * ASCII + code(i + 1))
+    # characters by one split: to find one by its place takes time in proportion to the place
+    codes = F.transform(F.split(s, ""), F.ascii)
+    return _let(codes, lambda c: F.transform(F.sequence(F.lit(0), F.length(s) - 2), lambda i: F.get(c, i) * ASCII + F.get(c, i + 1)))
 
 
 class Model:
@@ -130,14 +132,30 @@ class Model:
         self.table = ",".join(f"{x:.4f}" for x in ratios)
         self.threshold = threshold
 
+    def _ratios(self) -> Column:
+        return F.split(F.lit(self.table), ",").cast("array<double>")
+
     def score(self, s: Column) -> Column:
         """Mean log-likelihood ratio of the pairs of an ASCII string."""
-        table = F.split(F.lit(self.table), ",").cast("array<double>")
+        table = self._ratios()
         return F.aggregate(_pairs(s), F.lit(0.0), lambda a, p: a + F.get(table, p), lambda a: a / (F.length(s) - 1))
 
+    def best(self, s: Column) -> Column:
+        """The largest score of all parts of MODEL_CHARS characters, in one pass over a string that is longer."""
+        table, n = self._ratios(), MODEL_CHARS - 1
+
+        def largest(ratios: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                total = acc["total"] + F.get(ratios, i) - F.coalesce(F.get(ratios, i - n), F.lit(0.0))
+                return F.struct(total.alias("total"), F.when(i >= n - 1, F.greatest(acc["most"], total)).otherwise(acc["most"]).alias("most"))
+
+            start = F.struct(F.lit(0.0).alias("total"), F.lit(float("-inf")).alias("most"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(ratios) - 1), start, step, lambda acc: acc["most"] / n)
+
+        return _let(F.transform(_pairs(s), lambda p: F.get(table, p)), largest)
+
     def random(self, token: Column) -> Column:
-        head, tail = F.substring(token, 1, MODEL_CHARS), F.substring(token, -MODEL_CHARS, MODEL_CHARS)
-        return (self.score(head) > self.threshold) | ((F.length(token) > MODEL_CHARS) & (self.score(tail) > self.threshold))
+        return F.when(F.length(token) > MODEL_CHARS, self.best(token)).otherwise(self.score(token)) > self.threshold
 
 
 def train(labelled: DataFrame) -> Model:

@@ -63,6 +63,27 @@ def test_models_tell_random_strings(spark, sf):
     assert sum(score(names)) <= 0.03 * len(names)
 
 
+def test_long_tokens_are_read_whole(spark, sf):
+    """A key counts wherever it stands in a long token; each part of 64 characters has its score."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    r = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(r.choice(letters) for _ in range(64))
+    name = "the_other_people_number_" * 6
+    model = secrets.train(secrets.samples(docs))
+    tokens = [name[:at] + "/" + key() + "/" + name for at in range(65, 145, 4)] + [name + name, "-" * 5000, "deadbeef" * 20]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", model.random(F.col("t")).alias("r"), model.best(F.col("t")).alias("best")).collect()
+    assert [x.r for x in got[:20]] == [True] * 20 and not got[20].r
+    ratios = [float(x) for x in model.table.split(",")]
+    for x in got:
+        pairs = [ratios[ord(a) * secrets.ASCII + ord(b)] for a, b in zip(x.t, x.t[1:], strict=False)]
+        assert abs(x.best - max(sum(pairs[i : i + 63]) / 63 for i in range(len(pairs) - 62))) < 1e-6
+    spans = secrets.digest(docs.select("doc_id", "text").where("doc_id < 200").unionAll(spark.createDataFrame([(10**9, "see " + tokens[9] + " there")], "doc_id long, text string")))
+    assert spans.where("doc_id = 1000000000").first().spans == f"random:4:{4 + len(tokens[9])}"
+
+
 def test_clean_documents_stay_clean(spark, sf):
     rows = queries.op4_secrets(spark, sf).collect()
     flagged = sum("random" in r.spans for r in rows)
