@@ -13,6 +13,10 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +96,42 @@ RULES = (
 ANCHORS = r"(?i)licen[sc]e|permi(?:ssion|tted)|warrant|copyright|redistribut|rights|public domain|mpl"
 #: Ends of sentences; a list's colon and semicolon end one too.
 ENDS = r"(?<=[.!?:;])\s+|\n[\x20\t\r]*\n"
+#: Sentences whose usual wording has such an end inside ("free software; you can", "License, v. 2.0"), and what a text with one holds.
+CUT = ("gpl-free", "gpl-2-free", "gpl-hope", "mpl-2.0-form")
+CUT_CUE = r"(?i)free[\W_]+software[\W_]+foundation|without[\W_]+any[\W_]+warranty|mozilla[\W_]+public"
+#: Pieces of them at most.
+CUT_PIECES = 3
 
 
 def normal(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{Nd}]+", F.lit(" ")))
 
 
+def _named(sentence: Column, names: Iterable[str] = tuple(SENTENCES)) -> Column:
+    """Identifier of a normalised sentence among ``names``, or null."""
+    known = F.array(*[F.lit(SENTENCES[n]) for n in names])
+    return F.get(F.array(*[F.lit(n) for n in names]), F.array_position(known, sentence).cast("int") - 1)
+
+
 def _identified(s: Column) -> Column:
     """Identifier of a sentence, or null."""
-    by_text = [(text, name) for name, text in SENTENCES.items()]
-    known = F.array(*[F.lit(t) for t, _ in by_text])
-    names = F.array(*[F.lit(n) for _, n in by_text])
-    return F.get(names, F.array_position(known, normal(s)).cast("int") - 1)
+    return _named(normal(s))
+
+
+def _whole(pieces: Column, alone: Callable[[Column], Column]) -> Column:
+    """Identifiers for each piece of a text: those of CUT stand at the first of their pieces, other pieces are looked at ``alone``."""
+    empty = F.expr("cast(array() as array<string>)")
+    start = lambda norm, n: F.transform(norm, lambda _, i: _named(F.array_join(F.slice(norm, i + 1, F.lit(n)), " "), CUT))
+
+    def placed(x: Column) -> Column:
+        runs = [x[f"run{n}"] for n in range(2, CUT_PIECES + 1)]
+        inside = lambda i: reduce(or_, [F.get(run, i - k).isNotNull() for n, run in enumerate(runs, 2) for k in range(1, n)])
+        found = lambda i: F.coalesce(*[F.get(run, i) for run in runs])
+        return F.transform(pieces, lambda s, i: F.when(found(i).isNotNull(), F.array(found(i))).when(inside(i), empty).otherwise(alone(s)))
+
+    runs = lambda norm: F.struct(*[start(norm, n).alias(f"run{n}") for n in range(2, CUT_PIECES + 1)])
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return once(once(F.transform(pieces, normal), runs), placed)
 
 
 def sequence(text: Column) -> Column:
@@ -111,12 +139,15 @@ def sequence(text: Column) -> Column:
 
     A sentence may run over lines; one that is not known as a whole is looked at
     line by line, as notices often stand on a line without a full stop before.
+    Pieces that ENDS makes of a known sentence count as that sentence.
     """
     anchored = lambda s: s.rlike(ANCHORS)
+    empty = F.expr("cast(array() as array<string>)")
     by_line = lambda s: F.transform(F.filter(F.split(s, "\n"), anchored), _identified)
     found = F.transform(F.filter(F.split(text, ENDS), anchored), lambda s: F.coalesce(F.transform(F.filter(F.array(_identified(s)), lambda x: x.isNotNull()), lambda x: x), F.array()))
     found = F.zip_with(F.filter(F.split(text, ENDS), anchored), found, lambda s, ids: F.when(F.size(ids) > 0, ids).otherwise(by_line(s)))
-    empty = F.expr("cast(array() as array<string>)")
+    alone = lambda s: F.when(~anchored(s), empty).when(_identified(s).isNotNull(), F.array(_identified(s))).otherwise(by_line(s))
+    found = F.when(text.rlike(CUT_CUE), _whole(F.split(text, ENDS), alone)).otherwise(found)
     return F.when(text.rlike(ANCHORS), F.filter(F.flatten(found), lambda x: x.isNotNull())).otherwise(empty)
 
 

@@ -58,6 +58,45 @@ def test_rules_take_their_sentences(spark):
         assert (got[i].sentences, got[i].licenses) == brute(t)
 
 
+GPL = """    <one line to give the program's name and a brief idea of what it does.>
+    Copyright (C) <year>  <name of author>
+
+    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at {}://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_notices_with_ends_inside(spark):
+    """Verbatim notices whose sentences hold a colon, a semicolon or 'v.'."""
+    gpl2, gpl3 = GPL.format(";", ";", 2), GPL.format(":", ",", 3)
+    hashed = "# " + MPL.format("http").replace("\n", "\n# ")
+    tail = ["gpl-hope", "gpl-details"]
+    want = [
+        (gpl2, ["gpl-2-free", *tail], ["GPL-2.0-or-later"]), (gpl3, ["gpl-free", *tail], ["GPL-3.0-or-later"]), (GPL.format(";", ";", 3), ["gpl-free", *tail], ["GPL-3.0-or-later"]),
+        (MPL.format("http"), ["mpl-2.0-form", "mpl-2.0-copy"], ["MPL-2.0"]), (hashed, ["mpl-2.0-form", "mpl-2.0-copy"], ["MPL-2.0"]), (MPL.format("https"), ["mpl-2.0-form"], ["MPL-2.0"]),
+        (MIT + "\n\n" + gpl3 + "Licensed under CC BY 4.0.", ["mit-grant", "mit-notice", "mit-as-is", "gpl-free", *tail, "cc-by-4.0"], ["MIT", "GPL-3.0-or-later", "CC-BY-4.0"]),
+        ("This program is free software: you can run it. Without any warranty.", [], []),
+        ("Free Software Foundation.\nReleased under the MIT License.\nAll rights reserved.", ["mit-released", "rights"], ["MIT", "all-rights-reserved"]),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, x[0]) for i, x in enumerate(want)], "doc_id long, text string")).collect()}
+    for i, (_, ids, found) in enumerate(want):
+        assert (got[i].sentences, got[i].licenses) == (ids, found)
+
+
 def test_known_sentences_have_anchors():
     for text in licenses.SENTENCES.values():
         assert re.search(licenses.ANCHORS, text) and squeeze(text) == text
