@@ -32,8 +32,6 @@ CUTOFFS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
 SLACK = 0.005
 FEW_WORDS, MOST_REPEATED = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
-#: Languages beyond this many share a stratum.
-STRATA = 200
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -128,26 +126,37 @@ def select(good: list[int], n_good: int, bad: list[int], tests: int) -> float |
     return CUTOFFS[max(i for i in valid if bad[i] >= (1 - SLACK) * most)]
 
 
+def strata(held: DataFrame) -> DataFrame:
+    """lang, n_good, good, bad: labelled good documents of each language, and how many good and bad ones each cutoff rejects."""
+    rejected = lambda quality: F.array(*[F.sum(((F.col("badness") > c) & (F.col("quality") == quality)).cast("long")) for c in CUTOFFS])
+    return held.groupBy("lang").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n_good"), rejected(1).alias("good"), rejected(0).alias("bad"))
+
+
+def cutoffs(table: DataFrame, tests: int) -> DataFrame:
+    """(lang, cutoff) of the languages that have one.
+
+    Only languages with labels enough for a bound within RISK are read, so
+    their number is bounded by that of the labels, not of the languages.
+    """
+    least = math.log(LEVEL / max(tests, 1)) / math.log1p(-RISK) - 1
+    chosen = []
+    for r in table.where(F.col("n_good") >= least).toLocalIterator():
+        cut = select(r.good, r.n_good, r.bad, tests)
+        if cut is not None:
+            chosen.append((r.lang, cut))
+    return table.sparkSession.createDataFrame(chosen, "lang string, cutoff double")
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base_failed and kept: one row per row of ``docs``."""
     stats = written(measured(docs).withColumn("badness", badness()), "quality")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = stats.where(~base_failed()).join(known, "doc_id")
-    sums = [F.sum((F.col("badness") > c).cast("long")).alias(f"c{i}") for i, c in enumerate(CUTOFFS)]
-    table = held.groupBy("lang", "quality").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "lang", "quality").limit(2 * STRATA).collect()
-    by = {(r.lang, r.quality): (r.n, [r[f"c{i}"] for i in range(len(CUTOFFS))]) for r in table}
-    strata = sorted({lang for lang, _ in by})
-    chosen = {}
-    for lang in strata:
-        n, good = by.get((lang, 1), (0, [0] * len(CUTOFFS)))
-        cut = select(good, n, by.get((lang, 0), (0, [0] * len(CUTOFFS)))[1], len(strata) * len(CUTOFFS))
-        if cut is not None:
-            chosen[lang] = cut
-    cutoff = F.lit(None).cast("double")
-    for lang, cut in chosen.items():
-        cutoff = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(cutoff)
+    table = written(strata(held), "strata")
+    cuts = cutoffs(table, table.count() * len(CUTOFFS))
+    stats = stats.join(F.broadcast(cuts), "lang", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("badness") > F.col("cutoff"), F.lit(False))
-    return stats.withColumn("base_failed", base_failed()).withColumn("cutoff", cutoff).withColumn("kept", kept)
+    return stats.withColumn("base_failed", base_failed()).withColumn("kept", kept)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -72,6 +72,25 @@ def test_false_rejections_are_limited(spark):
     assert sum(bad) == 0 and sum(good) >= 0.99 * len(good)
 
 
+def test_every_language_has_its_stratum(spark):
+    """However many languages there are, one with labels enough has its own cutoff, and all count as tests."""
+    good, bad = "plain " + " ".join(f"word{i}" for i in range(60)), " ".join(f"$$$word{i}" for i in range(60))
+    rows = [(i, good, f"l{i % 450:03}") for i in range(900)]
+    rows += [(10_000 + i, bad if i % 8 == 0 else good, "zz") for i in range(2000)]
+    rows += [(20_000 + i, bad, "zz") for i in range(5)]
+    # a single labelled bad one: a row of (language, quality) that comes last by count
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(900)] + [(10_000 + i, 1) for i in range(2000) if i % 8] + [(10_000, 0)], "doc_id long, quality int")
+    got = quality.judged(docs, labels).collect()
+    assert len(got) == len(rows)
+    none = [0] * len(quality.CUTOFFS)
+    one = [int(c < 1.2) for c in quality.CUTOFFS]
+    assert quality.select(none, 1750, one, 451 * len(quality.CUTOFFS)) is not None
+    assert {x.cutoff for x in got if x.lang != "zz"} == {None}
+    assert len({x.cutoff for x in got if x.lang == "zz"} - {None}) == 1
+    assert not any(x.kept for x in got if x.doc_id >= 20_000) and all(x.kept for x in got if x.doc_id < 900)
+
+
 def test_odd_rows(odd, odd_rows, none, labels):
     check([(i, t) for i, t, *_ in odd_rows], quality.digest(odd, labels).collect())
     assert quality.digest(none, labels).count() == 0
