@@ -27,6 +27,7 @@ all pairs. Documents with equal sets are merged before any of this.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import math
@@ -258,8 +259,22 @@ def linked(members: list[np.ndarray], sides: list[int], percent: int) -> list[tu
     return out
 
 
+def _lows(percent: int) -> list[int]:
+    """Least sizes of the size classes, which are the bands of the signatures: sets in reach lie in one or in neighbouring ones."""
+    lows, size = [], 1
+    while size < 1 << 31:
+        lows.append(size)
+        size = band_of(size, percent)[2] + 1
+    return lows
+
+
 def _checked(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group of ``rows`` (key, side, doc_id, text), which arrive sorted by key."""
+    """Links (a, b) within each group of ``rows`` (key, side, class, doc_id, text), which arrive sorted by key.
+
+    A document's texts are joined to the blocks of all its classes; a text
+    counts in those of its own class only.
+    """
+    lows = _lows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, held, sides = None, [], [], []
@@ -271,12 +286,12 @@ def _checked(rows: DataFrame, words: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for k, side, doc_id, s in zip(b.column("key").to_pylist(), b.column("side").to_pylist(), b.column("doc_id").to_pylist(), sets(b.column("text"), words), strict=True):
+            for k, side, c, doc_id, s in zip(*[b.column(x).to_pylist() for x in ("key", "side", "class", "doc_id")], sets(b.column("text"), words), strict=True):
                 if k != key:
                     if len(ids) > 1:
                         yield close()
                     key, ids, held, sides = k, [], [], []
-                if len(s):
+                if len(s) and bisect.bisect_right(lows, len(s)) == c:
                     ids.append(doc_id)
                     held.append(s)
                     sides.append(side)
@@ -287,25 +302,19 @@ def _checked(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _blocks(candidates: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, key, side): the comparisons that each candidate (doc_id, n_shingles, label) takes part in.
+    """(doc_id, key, side, class): the comparisons that each candidate (doc_id, class, n_shingles, label) takes part in.
 
     A component of at most BLOCK shingles is one group. A larger one is split
     by size class and salt; every two blocks whose sizes are in reach meet in
     one group, so the work is dealt over as many tasks as there are meetings.
     """
-    lows, size = [], 1
-    while size < 1 << 31:
-        lows.append(F.lit(size))
-        size = band_of(size, percent)[2] + 1
-    # bands as in the signatures: sets in reach lie in one band or in neighbouring ones
-    classed = candidates.withColumn("class", F.size(F.filter(F.array(*lows), lambda low: low <= F.col("n_shingles"))))
-    weight = classed.groupBy("label", "class").agg(F.sum("n_shingles").alias("w"))
+    weight = candidates.groupBy("label", "class").agg(F.sum("n_shingles").alias("w"))
     w = Window.partitionBy("label").orderBy("class")
     salts = F.ceil(F.col("w") / (BLOCK // 2)).cast("int")
     weight = weight.withColumn("whole", F.sum("w").over(Window.partitionBy("label"))).withColumn("s", salts)
     for name, f, by in (("next", F.lead, 1), ("last", F.lag, -1)):
         weight = weight.withColumn(name, F.coalesce(F.when(f("class").over(w) == F.col("class") + by, f("s").over(w)), F.lit(0)))
-    joined = classed.join(weight, ["label", "class"])
+    joined = candidates.join(weight, ["label", "class"])
     salt = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
     text = lambda *x: F.concat_ws(":", *[y.cast("string") for y in x])
     c, own = F.col("class"), F.col("salt")
@@ -315,7 +324,7 @@ def _blocks(candidates: DataFrame, percent: int) -> DataFrame:
     meet.append(F.transform(upto("last"), lambda b: F.struct(text(c - 1, b, c, own).alias("at"), F.lit(1).alias("side"))))
     alone = F.array(F.struct(F.lit("").alias("at"), F.lit(0).alias("side")))
     spread = joined.withColumn("salt", salt).withColumn("meet", F.explode(F.when(F.col("whole") <= BLOCK, alone).otherwise(F.concat(*meet))))
-    return spread.select("doc_id", F.concat_ws("/", F.col("label").cast("string"), F.col("meet.at")).alias("key"), F.col("meet.side").alias("side"))
+    return spread.select("doc_id", F.concat_ws("/", F.col("label").cast("string"), F.col("meet.at")).alias("key"), F.col("meet.side").alias("side"), "class")
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -337,24 +346,26 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     groups = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
     groups = written(groups, "groups")
     rep_of = named.select("doc_id", "h1", "h2").join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
-    apart = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    once = rep_of.distinct()
+    several = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    apart = written(once.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "apart")
 
     known = docs.where("doc_id is not null")
     signed = _signed(known, words, percent, _common(known, words)).repartition(F.col("sig"))
     run = Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stars = signed.select("doc_id", F.first("doc_id").over(run).alias("head")).where("doc_id <> head").distinct()
     stars = written(stars, "stars")
-    once = rep_of.distinct()
     close = stars.join(once, "doc_id").select("head", F.col("rep").alias("a")).join(once.withColumnRenamed("doc_id", "head"), "head").select("a", F.col("rep").alias("b"))
     labels = components(close.unionAll(apart))
-    sizes = groups.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
+    size_class = F.size(F.filter(F.array(*map(F.lit, _lows(percent))), lambda low: low <= F.col("n_shingles")))
+    sizes = groups.groupBy(F.col("rep").alias("doc_id"), size_class.alias("class")).agg(F.sum("n_shingles").alias("n_shingles"))
     candidates = written(labels.withColumnRenamed("node", "doc_id").join(sizes, "doc_id"), "candidates")
     blocks = written(_blocks(candidates, percent), "blocks")
     if blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         # texts of other documents end at the scan; without this all texts are shuffled by id first
         blocks = F.broadcast(blocks)
     rows = docs.join(blocks, "doc_id").repartition("key").sortWithinPartitions("key")
-    links = written(_checked(rows.select("key", "side", "doc_id", "text"), words, percent), "links")
+    links = written(_checked(rows.select("key", "side", "class", "doc_id", "text"), words, percent), "links")
     label = components(links.unionAll(apart)).withColumnRenamed("node", "rep")
     named_groups = groups.join(label, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
     out = features.join(named_groups, ["h1", "h2"], "left")

@@ -159,3 +159,15 @@ def test_links_across_blocks_and_size_classes(spark, monkeypatch, k, percent):
     wanted = brute(rows, k, percent)
     assert {c for _, _, c in wanted} == {0}
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), k, percent) == wanted
+
+
+@pytest.mark.parametrize("block", [2_000_000, 150])
+def test_texts_of_one_id(spark, monkeypatch, block):
+    """Each text of an id is compared in its own size class, and all of them are one document."""
+    monkeypatch.setattr(simjoin, "BLOCK", block)
+    text = lambda name, n, end="": " ".join(f"{name}{i}" for i in range(n)) + end
+    rows = [(0, text("a", 40)), (0, text("b", 300)), (0, text("c", 120)), (9, text("a", 40, " x")), (8, text("b", 300, " x")), (7, text("c", 120, " x"))]
+    rows += [(20, text("d", 30)), (21, text("e", 60)), (22, text("f", 90)), (23, text("d", 30)), (23, text("e", 60)), (23, text("f", 90))]
+    wanted = brute(rows, 5, 80)
+    assert {c for _, _, c in wanted} == {0, 20}
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80) == wanted
