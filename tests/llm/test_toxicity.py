@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from brindle.llm import queries, toxicity
@@ -44,3 +45,18 @@ def test_odd_rows(spark, odd, odd_rows, none, labels):
     assert kept.columns == odd.columns and kept.count() <= len(odd_rows)
     assert toxicity.scored(none, labels).count() == 0
     assert toxicity.scored(odd, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells of toxicity may come late in a long labelled text."""
+    r = random.Random(8)
+    plain = ["".join(r.choice("abcdefghijklm") for _ in range(7)) for _ in range(400)]
+    rude = ["".join(r.choice("nopqrstuvwxyz") for _ in range(9)) for _ in range(12)]
+    prose = lambda n: " ".join(r.choice(plain) for _ in range(n))
+    rows = [(i, prose(3000) + " " + (" ".join(r.sample(rude, 5)) if i % 2 else prose(5)), i % 2) for i in range(240)]
+    assert all(len(t) > 23_000 for _, t, _ in rows)
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")).start()
+    bad = [model.score(prose(3000) + " " + " ".join(r.sample(rude, 5))) for _ in range(20)]
+    good = [model.score(prose(3005)) for _ in range(20)]
+    assert min(bad) >= toxicity.REJECT_AT > max(good)
