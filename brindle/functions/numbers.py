@@ -12,9 +12,13 @@ def round_half_up(x: Column) -> Column:
 
 
 def plain(x: Column) -> Column:
-    """A number as text, whole doubles without a fraction."""
-    whole = x == F.floor(x)
-    return F.when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    """D04. A number as text: its shortest digits, without a fraction if whole, and with an exponent only from 1e21 on or below 1e-6."""
+    s, size = x.cast("double").cast("string"), F.abs(x.cast("double"))
+    trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    spelled = F.when(size >= 1, s.try_cast("decimal(38,17)").cast("string")).otherwise(F.format_number(s.try_cast("decimal(38,24)"), 24))
+    powers = F.regexp_replace(F.regexp_replace(s, r"\.0E", "E"), r"E(?=[0-9])", "e+")
+    out = F.when(size == 0, F.lit("0")).when((size >= 1e21) | (size < 1e-6), F.replace(powers, F.lit("E"), F.lit("e")))
+    return F.when(F.isnan(size) | (size == float("inf")), s).otherwise(out.otherwise(trimmed(spelled)))
 
 
 def indian_grouping(x: Column) -> Column:
@@ -32,10 +36,19 @@ def grouping(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
+#: White space that may stand round a number.
+_BLANKS = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def coerced(text: Column) -> Column:
-    """Text as a number; what is none, or empty, is 0."""
-    number = text.try_cast("double")
-    return F.when(number.isNull() | F.isnan(number), F.lit(0.0)).otherwise(number)
+    """D18. Text as a number: decimal, or whole with 0x, 0o or 0b before it; what is none, or empty, is 0."""
+    s = F.regexp_replace(F.regexp_replace(text, f"^{_BLANKS}+", ""), f"{_BLANKS}+$", "")
+    digit = lambda d: F.conv(d, 16, 10).cast("double")
+    based = lambda base: F.aggregate(F.split(F.substr(s, F.lit(3)), ""), F.lit(0.0), lambda acc, d: acc * float(base) + digit(d))
+    out = F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+    out = out.when(s.rlike("^0[xX][0-9a-fA-F]+$"), based(16)).when(s.rlike("^0[oO][0-7]+$"), based(8)).when(s.rlike("^0[bB][01]+$"), based(2))
+    out = out.when(s.rlike(r"^\+?Infinity$"), F.lit(float("inf"))).when(s == "-Infinity", F.lit(float("-inf")))
+    return F.coalesce(out, F.lit(0.0))
 
 
 def progress(elapsed: Column, whole: int = 3000, steps: int = 5) -> tuple[Column, Column]:

@@ -18,7 +18,8 @@ def spec_line(size: Column, finish: Column, material: Column) -> Column:
 
 
 def cart_spec(size: Column, finish: Column) -> Column:
-    return F.concat(size, F.lit("mm · "), finish)
+    """D01. Unlike the spec line, without the unit."""
+    return F.concat(size, F.lit(" · "), finish)
 
 
 def price_band(low: Column, high: Column, unit: Column) -> Column:
@@ -52,6 +53,22 @@ def titled(name: Column, fallback: str, site: str) -> Column:
     return F.concat(F.coalesce(name, F.lit(fallback)), F.lit(f" — {site}"))
 
 
+def category_description(name: Column, site: str) -> Column:
+    """D05."""
+    return F.concat(F.lit("Browse "), F.coalesce(name, F.lit("products")), F.lit(f" from vetted international suppliers via {site}."))
+
+
+def product_description(name: Column, supplier: Column, size: Column, finish: Column, material: Column, site: str) -> Column:
+    """D05. Without a product there is a fixed text."""
+    found = F.concat(name, F.lit(" from "), supplier, F.lit(". "), size, F.lit("mm "), finish, F.lit(" "), material, F.lit(f". Request a quote via {site}."))
+    return F.when(name.isNull(), F.lit("Product detail.")).otherwise(found)
+
+
+def supplier_title(supplier: Column, site: str) -> Column:
+    """D05."""
+    return F.concat(F.lit("Supplier · "), supplier, F.lit(f" — {site}"))
+
+
 def id_safe(value: Column) -> Column:
     return F.regexp_replace(value, ":", "")
 

@@ -17,6 +17,11 @@ def ordered(df: DataFrame, by: str = "recommended", order: str = "ord", lead: st
     return df.orderBy(*keys[by], order)
 
 
+def of_supplier(df: DataFrame, supplier: str, column: str = "supplier_slug") -> DataFrame:
+    """G09."""
+    return df.where(F.col(column) == F.lit(supplier))
+
+
 def counted(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
 

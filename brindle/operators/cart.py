@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.text import cart_spec, plural
+
 ITEM = "struct<id:string,name:string,spec:string,origin:string,image:string>"
 
 
@@ -37,16 +39,33 @@ def replayed(log: DataFrame, owner: str, item: str, action: Column, order: list[
     last remove; an item is listed from its earliest addition after both.
     """
     at = F.struct(*order)
-    log = log.withColumn("_act", action).withColumn("_at", at)
-    cleared = F.max(F.when(F.col("_act") == "clear", F.col("_at"))).over(Window.partitionBy(owner))
-    log = log.withColumn("_cleared", cleared).where(F.col("_cleared").isNull() | (F.col("_at") > F.col("_cleared")))
-    gone = F.max(F.when(F.col("_act") == "remove", F.col("_at"))).over(Window.partitionBy(owner, item))
-    log = log.withColumn("_gone", gone).where((F.col("_act") == "add") & (F.col("_gone").isNull() | (F.col("_at") > F.col("_gone"))))
-    listed = log.groupBy(owner, item).agg(F.min("_at").alias("_first"))
+    log = log.select(owner, item, action.alias("_act"), at.alias("_at"))
+    # the last clears and removes are few beside the events, and their maxima are taken before the shuffle
+    clears = log.where("_act = 'clear'").groupBy(F.col(owner).alias("_owner")).agg(F.max("_at").alias("_cleared"))
+    removes = log.where("_act = 'remove'").groupBy(F.col(owner).alias("_by"), F.col(item).alias("_of")).agg(F.max("_at").alias("_gone"))
+    adds = log.where("_act = 'add'").join(clears, F.col(owner).eqNullSafe(F.col("_owner")), "left")
+    adds = adds.join(removes, F.col(owner).eqNullSafe(F.col("_by")) & F.col(item).eqNullSafe(F.col("_of")), "left")
+    later = lambda c: F.col(c).isNull() | (F.col("_at") > F.col(c))
+    listed = adds.where(later("_cleared") & later("_gone")).groupBy(owner, item).agg(F.min("_at").alias("_first"))
     place = F.row_number().over(Window.partitionBy(owner).orderBy("_first"))
     return listed.withColumn("position", place.cast("bigint")).drop("_first")
 
 
+def product_line(df: DataFrame) -> DataFrame:
+    """D01. A product as an item of a list."""
+    return df.select("id", "name", cart_spec(F.col("size"), F.col("finish")).alias("spec"), "origin", "image")
+
+
+def featured_line(df: DataFrame) -> DataFrame:
+    """D02. A featured product as an item of a list: its picture has another name there, its spec stays as it is."""
+    return df.select("id", "name", "spec", "origin", F.col("img").alias("image"))
+
+
+def badge(df: DataFrame, noun: str = "product") -> DataFrame:
+    """E02, E06. How many items a list holds; no row for an empty list."""
+    return df.agg(F.count("*").alias("n")).where("n > 0").select("n", plural(F.col("n"), noun).alias("label"))
+
+
 def restored(stored: Column) -> Column:
     """A stored list; what is absent or malformed is an empty one."""
     return F.coalesce(F.from_json(stored, f"array<{ITEM}>"), F.expr(f"cast(array() as array<{ITEM}>)"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,7 @@ def or_default(df: DataFrame, column: str, key: object, order: str = "ord") -> D
 
 
 def must_exist(df: DataFrame, what: str) -> Row:
+    """B04."""
     row = df.first()
     if row is None:
         raise NotFoundError(what)
@@ -72,11 +73,12 @@ def others(df: DataFrame, column: str, key: object, n: int = 4, order: str = "or
 
 
 def others_of_each(df: DataFrame, column: str, n: int = 4, order: str = "ord") -> DataFrame:
-    """For every row the first n others: they are among the first n + 1 rows, which are broadcast."""
-    first = df.orderBy(order).limit(n + 1).select(F.col(column).alias("related"), F.col(order).alias("_place"))
-    pairs = df.select(column).crossJoin(F.broadcast(first)).where(F.col(column) != F.col("related"))
-    rank = F.row_number().over(Window.partitionBy(column).orderBy("_place"))
-    return pairs.withColumn("position", rank).where(F.col("position") <= n).drop("_place")
+    """For every row the first n others, which are among the first n + 1 rows: those n + 1 keys are read once, so nothing is shuffled or joined."""
+    first = [r[0] for r in df.orderBy(order).limit(n + 1).select(column).collect()]
+    kind = df.schema[column].dataType
+    known = F.array(*[F.lit(x).cast(kind) for x in first]).cast(f"array<{kind.simpleString()}>")
+    rest = F.slice(F.filter(known, lambda x: x != F.col(column)), 1, n)
+    return df.select(column, F.posexplode(rest).alias("_at", "related")).select(column, "related", (F.col("_at") + 1).alias("position"))
 
 
 def matches_all(df: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
@@ -94,6 +96,27 @@ def from_dictionary(entries: Column, nested: Column, key: Column) -> Column:
     return F.coalesce(F.try_element_at(entries, key), F.try_element_at(nested, key), key)
 
 
+def configured(config: Column, payload: Column, nested: Column, key: Column) -> Column:
+    """B17. The config of the name that the payload, or else its nested payload, gives for a key; the key's own config where that name has none.
+
+    Without a payload there is no result.
+    """
+    name = from_dictionary(payload, nested, key)
+    found = F.when(F.map_contains_key(config, name), F.element_at(config, name)).otherwise(F.try_element_at(config, key))
+    return F.when(payload.isNotNull(), found)
+
+
+def entries(dictionary: Column) -> Column:
+    """B20. Key and value pairs; ``F.map_keys`` gives the keys."""
+    return F.map_entries(dictionary)
+
+
+def nothing_found(df: DataFrame, message: str) -> DataFrame:
+    """E06. A row with the message if ``df`` is empty, else none. At most one row is read for it."""
+    seen = df.limit(1).agg(F.count("*").alias("n"))
+    return seen.where("n = 0").select(F.lit(message).alias("message"))
+
+
 def server_error(status: Column, content_type: Column, body: Column, markers: Sequence[str]) -> Column:
     """A framework's JSON error: status of 500 or more, JSON, and all markers in the body."""
     return reduce(lambda a, b: a & b, [status >= 500, F.contains(content_type, F.lit("application/json")), *[F.contains(body, F.lit(m)) for m in markers]])

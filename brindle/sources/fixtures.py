@@ -8,6 +8,7 @@ match or the first few rows are asked for.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # fixed values
 CATEGORIES = [
@@ -82,16 +83,55 @@ MATCH_SCORES = [
     ("architects", "Verona Stone Works", 94), ("architects", "Guangdong Elite Ceramics", 88), ("architects", "Castellón Ceramica", 81),
     ("machinery", "Jiangsu Precision Tools", 92), ("machinery", "Taiwan Servo Systems", 86), ("machinery", "Bremen MachineWorks", 79),
 ]
+#: persona, label, features as (title, description)
 PERSONA_FEATURES = [
-    ("architects", "For Architects", ["Upload BOQ", "Upload Drawings", "Sourcing Options", "Request Samples", "Track Procurement"]),
-    ("machinery", "For Machinery Buyers", ["Upload Machine Spec", "Factory Matches", "Compare Suppliers", "Inspection Reports", "Track Shipment"]),
-    ("businesses", "For Businesses", ["Landed Cost Estimates", "Container Status", "Download Documents", "Multiple Projects"]),
-]
-PERSONA_SLAS = [
-    ("architects", ["Reviewed within 2 hours", "Shortlist within 24 hours", "Samples dispatched within 7 days", "Single point of contact", "Live status, all containers"]),
-    ("machinery", ["Engineer review within 4 hours", "Factory shortlist within 48 hours", "Comparison sheet in 24 hours", "Inspection report before balance payment", "Commissioning within 14 days of arrival"]),
-    ("businesses", ["Account manager assigned within 1 day", "Cost model within 24 hours", None, "Updates pushed within 1 hour of milestone", "All documents in one place"]),
+    ("architects", "For Architects", [
+        ("Upload BOQ", "Bill of quantities reviewed within 2 hours"), ("Upload Drawings", "Share DWG, PDF, or spec sheets"), ("Sourcing Options", "2–4 pre-vetted Chinese suppliers per line item"),
+        ("Request Samples", "Physical samples delivered to your office"), ("Track Procurement", "Live status from PO to site delivery"),
+    ]),
+    ("machinery", "For Machinery Buyers", [
+        ("Upload Machine Spec", "Share machine specifications or RFQ"), ("Factory Matches", "Vetted Chinese manufacturers"), ("Compare Suppliers", "Side-by-side capacity and pricing"),
+        ("Inspection Reports", "Third-party QC before payment"), ("Track Shipment", "Container-level visibility to port"),
+    ]),
+    ("businesses", "For Businesses", [
+        ("Landed Cost Estimates", "Indicative total before you commit"), ("Container Status", "Real-time tracking across ocean & inland"),
+        ("Download Documents", "Invoices, BL, COO, fumigation in one place"), ("Multiple Projects", "Manage parallel orders from one dashboard"),
+    ]),
+]
+#: persona, label, tagline, steps as (title, text, promise); {site} stands for the site's name
+PERSONA_STEPS = [
+    ("architects", "Architects", "From BOQ to finished interior. {site} sources every line item and gets samples to your studio.", [
+        ("Upload Your BOQ or Drawings", "Share your Bill of Quantities, finish schedule, or architectural drawings. {site} reviews within 2 hours.", "Reviewed within 2 hours"),
+        ("{site} Matches Suppliers", "We identify 2–4 pre-vetted manufacturers per line item — matched on spec, aesthetic, lead time, and budget.", "Shortlist within 24 hours"),
+        ("Compare Quotes + Request Samples", "Receive itemised quotes with FOB and landed cost. Order physical samples shipped to your office.", "Samples dispatched within 7 days"),
+        ("Place Order, {site} Handles Export", "We raise POs, run pre-shipment inspection, and prepare every export document. You sign one PO with {site}.", "Single point of contact"),
+        ("Track Your Procurement to Site", "Real-time container tracking with milestone notifications by WhatsApp and email — straight to your project manager.", "Live status, all containers"),
+    ]),
+    ("machinery", "Machinery Buyers", "Source production-grade machinery from vetted factories. Inspection reports before you pay.", [
+        ("Upload Machine Spec or RFQ", "Share your machine requirement, capacity needs, and tolerances. Our procurement engineer reviews within 4 hours.", "Engineer review within 4 hours"),
+        ("Factory Matches Across 12 Markets", "We shortlist OEM factories with proven capability, after-sales presence in India, and the right export experience.", "Factory shortlist within 48 hours"),
+        ("Compare Suppliers & Capacity", "Side-by-side comparison on output, power draw, warranty terms, spares lead time, and total landed cost.", "Comparison sheet in 24 hours"),
+        ("Pre-Shipment Inspection & Test Run", "Third-party inspector or our engineer attends factory acceptance test (FAT). You receive a signed report and video.", "Inspection report before balance payment"),
+        ("Track Shipment + Installation Handover", "Container tracking through customs, plus coordination with the OEM's engineer for on-site commissioning.", "Commissioning within 14 days of arrival"),
+    ]),
+    ("businesses", "Businesses", "Import goods at landed-cost clarity. Manage every project from one dashboard.", [
+        ("Share Your Import Requirement", "Tell us what you import — packaging, components, finished goods. Volume, frequency, destination ports.", "Account manager assigned within 1 day"),
+        ("Landed Cost Modelling", "Get a full landed cost model — FOB, freight, duties, port handling, inland — before you commit to a supplier.", "Cost model within 24 hours"),
+        ("{site} Manages PO + Compliance", "We raise the PO, manage payment terms with the supplier, and own the export and customs paperwork.", "Single invoice from {site}"),
+        ("Live Container Status", "Container tracking with milestone push-notifications. Vessel ETAs auto-updated against the original plan.", "Updates pushed within 1 hour of milestone"),
+        ("Manage Multiple Projects", "Switch between active orders, download documents, and review supplier performance — all in one dashboard.", "All documents in one place"),
+    ]),
 ]
+#: persona, supplier, and what each column of the comparison says of it
+QUOTES = [
+    ("architects", "Verona", [("FOB", "₹180"), ("Lead", "10w"), ("MOQ", "100")]),
+    ("architects", "Guangdong", [("FOB", "₹58"), ("Lead", "7w"), ("MOQ", "200")]),
+    ("architects", "Castellón", [("FOB", "₹38"), ("Lead", "6w"), ("MOQ", "250")]),
+    ("machinery", "Jiangsu", [("Output", "120 u/hr"), ("Warranty", "24 mo"), ("FOB", "$48k")]),
+    ("machinery", "Taiwan SS", [("Output", "110 u/hr"), ("Warranty", "36 mo"), ("FOB", "$62k")]),
+    ("machinery", "Bremen", [("Output", "140 u/hr"), ("Warranty", "24 mo"), ("FOB", "$89k")]),
+]
+FACTORY_IMAGES = [f"https://picsum.photos/seed/fac{i}/600/400" for i in range(1, 7)]
 CERTIFICATES = [("ISO 9001:2015", "TÜV Rheinland", "Mar 2027"), ("CE Marking", "Notified Body 1922", "Ongoing"), ("Bureau Veritas QC", "Bureau Veritas", "Aug 2026")]
 INSPECTIONS = [("Mar 2026", "INS-2026-118", "Pass"), ("Nov 2025", "INS-2025-091", "Pass"), ("Jul 2025", "INS-2025-052", "Pass")]
 QC_STEPS = ["Raw Material", "Production QC", "Pre-shipment Inspection", "Packaging Audit"]
@@ -156,11 +196,30 @@ def match_scores(spark: SparkSession) -> DataFrame:
 
 
 def persona_features(spark: SparkSession) -> DataFrame:
-    return _table(spark, PERSONA_FEATURES, "persona string, label string, features array<string>")
+    return _table(spark, PERSONA_FEATURES, "persona string, label string, features array<struct<title:string,desc:string>>")
+
+
+def persona_steps(spark: SparkSession, site: str = "us") -> DataFrame:
+    filled = lambda x: x.replace("{site}", site)
+    rows = [(persona, label, filled(tagline), [tuple(map(filled, step)) for step in steps]) for persona, label, tagline, steps in PERSONA_STEPS]
+    return _table(spark, rows, "persona string, label string, tagline string, steps array<struct<title:string,copy:string,sla:string>>")
+
+
+def persona_slas(spark: SparkSession, site: str = "us") -> DataFrame:
+    """What each step of a persona promises."""
+    return persona_steps(spark, site).select("ord", "persona", F.transform("steps", lambda x: x["sla"]).alias("slas"))
+
+
+def quotes(spark: SparkSession) -> DataFrame:
+    return _table(spark, QUOTES, "persona string, supplier string, quote array<struct<k:string,v:string>>")
+
+
+def factory_images(spark: SparkSession) -> DataFrame:
+    return _table(spark, [(x,) for x in FACTORY_IMAGES], "image string")
 
 
-def persona_slas(spark: SparkSession) -> DataFrame:
-    return _table(spark, PERSONA_SLAS, "persona string, slas array<string>")
+def qc_steps(spark: SparkSession) -> DataFrame:
+    return _table(spark, [(x,) for x in QC_STEPS], "step string")
 
 
 def certificates(spark: SparkSession) -> DataFrame:

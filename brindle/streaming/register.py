@@ -1,7 +1,9 @@
 """The last-value register as a stateful stream.
 
 A write replaces the held value; a read returns it, if it is not older than the
-time to live by event time, and clears it either way. The batch form is
+time to live by event time, and clears it either way. A value that no read
+fetches is let go when the watermark has passed its time to live, so the state
+holds no owner for longer. The batch form is
 ``brindle.operators.review.register_reads``.
 """
 
@@ -12,6 +14,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators.review import TTL_MS
@@ -20,27 +23,34 @@ OUTPUT = "owner string, seq long, got string"
 STATE = "value string, at long"
 
 
-def reads(log: DataFrame, ttl: int = TTL_MS) -> DataFrame:
+def reads(log: DataFrame, ttl: int = TTL_MS, late: str = "10 seconds") -> DataFrame:
     """What each read returns, for a stream of (owner, seq, ms, is_write, value).
 
-    Events of an owner are taken in order of (ms, seq) within a micro-batch.
+    Events of an owner are taken in order of (ms, seq) within a micro-batch;
+    those later than ``late`` behind the newest are left out.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, at = state.get if state.exists else (None, None)
-        out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else None
         events = pd.concat(list(batches)).sort_values(["ms", "seq"])
-        for seq, ms, is_write, new in events[["seq", "ms", "is_write", "value"]].itertuples(index=False):
-            if is_write:
-                value, at = new, int(ms)
-            else:
-                out.append((key[0], int(seq), value if at is not None and ms - at <= ttl else None))
-                value, at = None, None
-        if at is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((value, at))
-        yield pd.DataFrame(out, columns=["owner", "seq", "got"])
-
-    return log.groupBy("owner").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        # a read returns what the event before it wrote, or at the start what is held
+        before, then = events["value"].where(events["is_write"]).shift(), events["ms"].where(events["is_write"]).shift()
+        if held is not None and len(events):
+            before.iloc[0], then.iloc[0] = held
+        fresh = events["ms"] - then.astype("float64") <= ttl
+        got = before.where(fresh, None)
+        asked = ~events["is_write"].astype(bool)
+        last = events.iloc[-1]
+        if last["is_write"]:
+            state.update((last["value"], int(last["ms"])))
+            state.setTimeoutTimestamp(max(int(last["ms"]) + ttl + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"owner": key[0], "seq": events["seq"][asked], "got": got[asked].astype(object)})
+
+    # rows at the watermark count as late, and it starts at 0: a millisecond more keeps those of time 0
+    timed = log.withColumn("_at", F.timestamp_millis(F.col("ms") + 1)).withWatermark("_at", late)
+    return timed.groupBy("owner").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -205,3 +205,29 @@ def test_small_rules(spark, products):
     assert all(r.x == r.gallery[r.ord % 4] for r in got)
     df = spark.createDataFrame([(None, 1), (300, -1)], "w int, d int")
     assert [r[0] for r in df.select(numbers.scroll_by(F.col("w"), F.col("d"))).collect()] == [320, -320]
+
+
+def test_related_rows_need_no_shuffle(spark):
+    df = spark.range(100).withColumn("ord", F.col("id"))
+    plan = filters.others_of_each(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert filters.others_of_each(df.limit(0), "id").count() == 0
+    assert [tuple(r) for r in filters.others_of_each(df.limit(2), "id").orderBy("id").collect()] == [(0, 1, 1), (1, 0, 1)]
+
+
+def test_missing_rows(spark):
+    import pytest
+
+    df = spark.range(3)
+    with pytest.raises(filters.NotFoundError):
+        filters.must_exist(df.where("id > 5"), "no such row")
+    assert filters.nothing_found(df, "none").count() == 0
+    assert [r.message for r in filters.nothing_found(df.where("id > 5"), "none").collect()] == ["none"]
+    assert cart.badge(df.where("id > 5")).count() == 0
+
+
+def test_price_order(spark):
+    from brindle.operators import browse
+
+    df = spark.createDataFrame([(2, 5.0), (1, 5.0), (0, 9.0), (3, 1.0)], "ord int, price_min double")
+    assert [r.ord for r in browse.ordered(df, "price").collect()] == [3, 1, 2, 0]

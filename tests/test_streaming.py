@@ -22,3 +22,19 @@ def test_register_over_batches(spark, tmp_path):
     finally:
         sink.stop()
     assert got == {1: "x", 2: None, 4: "y", 6: None, 9: "v"}
+
+
+def test_unread_values_do_not_stay(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    log = spark.readStream.schema("owner string, seq long, ms long, is_write boolean, value string").option("maxFilesPerTrigger", 1).json(str(source))
+    sink = register.reads(log, late="0 seconds").writeStream.format("memory").queryName("unread").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for i, ms in enumerate((0, 60_000, 120_000, 180_000)):
+            row = {"owner": f"o{i}", "seq": i, "ms": ms, "is_write": True, "value": "x"}
+            (source / f"{i}.json").write_text(json.dumps(row) + "\n")
+            sink.processAllAvailable()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in sink.recentProgress if p["stateOperators"]]
+    finally:
+        sink.stop()
+    assert held[-1] <= 2
