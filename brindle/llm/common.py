@@ -109,6 +109,25 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(WORD)).cast("long")
 
 
+def least_hashes(df: DataFrame, n: int, *columns: str) -> list[int]:
+    """The n least of the different 63-bit hashes of ``row_hash`` over the columns, in order: a sample of rows that repeated rows do not weigh on.
+
+    Only hashes are sorted, and in a large table only the lowest of them.
+    """
+    key = row_hash(*columns)
+    share, total = 8 * n, df.count()
+    while True:
+        low = df.where(key < (1 << 63) * share // total) if total > share else df
+        found = [r[0] for r in low.select(key.alias("h")).distinct().orderBy("h").limit(n).collect()]
+        if len(found) == n or total <= share:
+            return found
+        share *= 64
+
+
+def row_hash(*columns: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
 def hash_sample(df: DataFrame, n: int, *ids: str, total: int | None = None) -> DataFrame:
     """The n rows, of about ``total``, with the least hash of their ids; equal ones in the order of all ids.
 

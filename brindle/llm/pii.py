@@ -9,8 +9,10 @@ it lies most nearly, and runs of a tag over the whole text are the spans.
 Spans that touch no base span are added to them.
 
 A span holds a digit or an at sign: the labelled spans all do, and the decoder
-is bound to it. A window without either therefore decodes to no span at all,
-and is not computed.
+is bound to it. So decoding starts from the windows that say what the characters
+around these are, and goes on to the windows of whatever touches a tag, until
+every run of a tag that was met is bounded. The spans are those of decoding all
+windows, which the tests compare; windows that no such run reaches are left out.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
 each get their row; a null ``doc_id`` is kept; texts of any length are decoded
@@ -30,18 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hash_sample, map_arrow
+from brindle.llm.common import least_hashes, map_arrow, row_hash
 
 KINDS = ("email", "ip", "card", "phone")
-#: Training reads at most so many documents, the first by hash of their id, and
-#: so many characters of each. Decoding has no such bound.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 4000
+#: Training reads at most so many documents, the first by hash of their id and
+#: text, and so many windows from anywhere in each. Decoding has no such bound.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 6
 TRAIN_WINDOWS, EPOCHS, HIDDEN, SEED = 1200, 9, 16, 7
 WINDOW, STRIDE = 128, 64
 #: Windows computed at once.
 BATCH = 512
 CUE = re.compile(r"[0-9@]")
-LEFT = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 CLASS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -286,40 +287,66 @@ def labelled(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = SEED) -> tupl
 # --- whole texts -----------------------------------------------------------
 
 
-def tag_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans of each text, from overlapping windows reconciled over the whole of it."""
-    jobs, coded = [], []
-    for k, text in enumerate(texts):
-        code = encode(text) if CUE.search(text) else np.zeros(0, np.int16)
+def owners(length: int, at: np.ndarray) -> np.ndarray:
+    """For each position of a text the window in whose middle it lies most nearly: the text's ends are no windows' edges, and the earlier one wins ties."""
+    last = at // STRIDE
+    before = np.maximum(last - 1, 0)
+
+    def middle(window: np.ndarray) -> np.ndarray:
+        i, size = at - window * STRIDE, np.minimum(WINDOW, length - window * STRIDE)
+        at_end = (window * STRIDE + WINDOW >= length) & (i >= size - WINDOW // 2)
+        return np.where(((window == 0) & (i < WINDOW // 2)) | at_end, WINDOW, np.minimum(i, WINDOW - 1 - i))
+
+    return np.where(middle(before) >= middle(last), before, last)
+
+
+def tags_of(tagger: Tagger, texts: list[str], everything: bool = False) -> list[np.ndarray]:
+    """Tags of each text's characters, -1 where not computed: all if ``everything``, else those that spans with a cue depend on."""
+    coded, tags, wanted, done = [], [], [], []
+    for text in texts:
+        cues = np.array([m.start() for m in CUE.finditer(text)], np.int64)
+        code = encode(text) if len(cues) or everything else np.zeros(0, np.int16)
         coded.append(code)
-        if len(code):
-            wanted = set()
-            for m in CUE.finditer(text):
-                last = m.start() // STRIDE
-                wanted.update(range(max(0, last - WINDOW // STRIDE + 1), last + 1))
-            jobs += [(k, w * STRIDE) for w in sorted(wanted)]
-    tags = [np.zeros(len(c), np.int8) for c in coded]
-    central = [np.full(len(c), -1, np.int16) for c in coded]
-    middle = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW)).astype(np.int16)
-    for at in range(0, len(jobs), BATCH):
-        part = jobs[at : at + BATCH]
-        ids = np.zeros((len(part), WINDOW), np.int16)
-        for row, (k, start) in enumerate(part):
-            x = coded[k][start : start + WINDOW]
-            ids[row, : len(x)] = x
-        for (k, start), got in zip(part, tagger.decode(ids), strict=True):
-            n = min(WINDOW, len(coded[k]) - start)
-            inner = middle[:n].copy()
-            if start == 0:  # a text's edge is no window's edge
-                inner[: WINDOW // 2] = WINDOW
-            if start + WINDOW >= len(coded[k]):
-                inner[max(0, n - WINDOW // 2) :] = WINDOW
-            better = inner > central[k][start : start + n]
-            tags[k][start : start + n][better] = got[:n][better]
-            central[k][start : start + n][better] = inner[better]
+        tags.append(np.full(len(code), -1, np.int8))
+        wanted.append(np.unique(owners(len(code), np.arange(len(code)) if everything else cues)) if len(code) else cues)
+        done.append(set())
+    jobs, reach = [(k, int(w)) for k, windows in enumerate(wanted) for w in windows], 1
+    for k, w in jobs:
+        done[k].add(w)
+    while jobs:
+        following = set()
+        for at in range(0, len(jobs), BATCH):
+            part = jobs[at : at + BATCH]
+            ids = np.zeros((len(part), WINDOW), np.int16)
+            for row, (k, w) in enumerate(part):
+                x = coded[k][w * STRIDE : w * STRIDE + WINDOW]
+                ids[row, : len(x)] = x
+            for (k, w), got in zip(part, tagger.decode(ids), strict=True):
+                place = np.arange(w * STRIDE, min(w * STRIDE + WINDOW, len(coded[k])))
+                own = place[owners(len(coded[k]), place) == w]
+                tags[k][own] = got[own - w * STRIDE]
+                # what lies next to a tag may belong to its run
+                tagged = own[got[own - w * STRIDE] > 0]
+                for side in (-1, 1):
+                    beside = tagged + side
+                    beside = beside[(beside >= 0) & (beside < len(tags[k]))]
+                    for v in np.unique(owners(len(tags[k]), beside)).tolist():
+                        if v != w and v not in done[k]:
+                            # a long run is followed by ever more windows at once
+                            following.update((k, v + side * i) for i in range(reach))
+        last = [-(-len(c) // STRIDE) for c in coded]
+        jobs = sorted((k, w) for k, w in following if 0 <= w < last[k] and w not in done[k])
+        for k, w in jobs:
+            done[k].add(w)
+        reach = min(2 * reach, 64)
+    return tags
+
+
+def tag_spans(tagger: Tagger, texts: list[str], everything: bool = False) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text, from overlapping windows reconciled over the whole of it."""
     out = []
-    for text, t in zip(texts, tags, strict=True):
-        spans = []
+    for text, t in zip(texts, tags_of(tagger, texts, everything), strict=True):
+        spans, t = [], np.maximum(t, 0)
         if t.any():
             edges = np.flatnonzero(np.diff(np.concatenate([[0], t, [0]])))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -340,7 +367,7 @@ def plausible(kind: str, piece: str) -> bool:
     if kind == "ip":
         return re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", piece) is not None
     if kind == "card":
-        return 16 <= digits <= 19 and re.fullmatch(r"[0-9][0-9\x20-]+[0-9]", piece) is not None
+        return 16 <= digits <= 19 and re.fullmatch(r"[0-9][0-9\x20-]+[0-9]", piece) is not None and luhn(re.sub(r"[\x20-]", "", piece))
     return 8 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9][\x20().0-9-]+[0-9]", piece) is not None and not re.fullmatch(r"[0-9]+", piece)
 
 
@@ -349,10 +376,22 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def fit(docs: DataFrame) -> Tagger:
-    """Train on windows of a bounded sample of the documents."""
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("length(text) > 0")
-    rows = hash_sample(rows, SAMPLE_DOCS, "doc_id", "text", total=docs.count()).collect()
-    return Tagger().fit(*labelled([r.text for r in rows]))
+    """Train on windows from anywhere in the whole texts of a bounded sample of the documents; only the windows reach the driver."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 0")
+    picked = least_hashes(rows, SAMPLE_DOCS, "doc_id", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, x in zip(b.column("h").to_pylist(), b.column("text"), strict=True):
+                r, text = random.Random(h), x.as_py()
+                starts = [r.randrange(max(1, len(text) - WINDOW + 1)) for _ in range(SAMPLE_WINDOWS)]
+                out.append([text[at : at + WINDOW] for at in starts])
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(out, pa.list_(pa.string()))], ["h", "windows"])
+
+    chosen = rows.withColumn("h", row_hash("doc_id", "text")).where(F.col("h").isin(picked)).select("h", "text")
+    found = map_arrow(chosen, cut, "h long, windows array<string>").groupBy("h").agg(F.first("windows").alias("windows"))
+    return Tagger().fit(*labelled([w for r in sorted(found.collect()) for w in r.windows]))
 
 
 def find(docs: DataFrame, tagger: Tagger) -> DataFrame:

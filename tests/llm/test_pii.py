@@ -107,3 +107,41 @@ def test_odd_rows(odd, odd_rows, none):
     assert len(rows) == len(odd_rows)
     assert all(r.spans == "" for r in rows)
     assert pii.digest(none).count() == 0
+
+
+def test_left_out_windows_change_nothing(spark, sf01, tagger):
+    """Spans are those of decoding every window, on whole tables and where runs are longer than windows."""
+    texts = [r.text for r in spark.read.parquet(f"{sf01}/documents.parquet").select("text").collect()]
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz.-_") for _ in range(n))
+    for _ in range(300):
+        parts = [word(r.randint(1, 9)) for _ in range(r.randint(0, 60))]
+        parts.insert(r.randrange(len(parts) + 1), r.choice([word(r.randint(30, 400)) + "@" + word(r.randint(30, 300)) + ".com", "+1 " + "(555) 123-4567 " * r.randint(1, 20), "1.2.3.4" * r.randint(1, 40)]))
+        texts.append(" ".join(parts))
+    texts += ["a" * 5000 + "@" + "b" * 5000 + ".org", "1" * 700, "@", "", "é" * 64 + "@" + "é" * 63, "x" * 128 + "7", "7" + "x" * 128]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert pii.tag_spans(tagger, part) == pii.tag_spans(tagger, part, everything=True)
+
+
+def test_added_spans_of_the_whole_table(spark, sf, tagger):
+    """The query's spans are the base ones and, of all windows' spans, those that touch none of them."""
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    every = dict(zip(rows, pii.tag_spans(tagger, list(rows.values()), everything=True), strict=True))
+    for r in queries.op10_pii(spark, sf).collect():
+        base = brute(rows[r.doc_id])
+        added = [s for s in every[r.doc_id] if all(s[2] <= a or s[1] >= b for _, a, b in base)]
+        assert r.spans == pii.joined(base + added)
+
+
+def test_training_reads_whole_texts(spark):
+    """Words far from a text's start are trained on as well."""
+    docs = spark.createDataFrame([(i, "x" * 20_000 + f" call +1 (583) 555-84{i:02d} now" * 200) for i in range(20)], "doc_id long, text string")
+    seen = []
+    whole = pii.labelled
+    pii.labelled = lambda texts, *a: seen.extend(texts) or whole(["no words"], 8)
+    try:
+        pii.fit(docs)
+    finally:
+        pii.labelled = whole
+    assert any("call" in t for t in seen) and any("xxx" in t for t in seen)
