@@ -3,9 +3,11 @@
 Patterns find the base spans. Besides, every long token is scored by the
 log-likelihood ratio of its character pairs under two first-order Markov models
 trained from labelled samples, one of random strings and one of ordinary
-identifiers; tokens whose mean ratio, or that of any 64 characters in a longer
-one, exceeds a threshold calibrated on the same kinds of samples, and that touch
-no base span, are added as kind ``random``.
+identifiers. A token counts as random if its mean ratio (of a longer one, that of
+any 64 characters) exceeds a threshold, or if somewhere in it the ratios beyond
+that threshold add up to more than a bar, as they do at a key within a path.
+Both limits are calibrated on samples that did not train the models. Tokens that
+touch no base span are added as kind ``random``.
 All of it is built-in functions.
 
 Spans of a kind come from the text split at its matches: each start is the sum
@@ -24,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hash_sample, text_or_empty
+from brindle.llm.common import least_hashes, row_hash, text_or_empty, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -37,8 +39,12 @@ LEAST_ASSIGNED = 12
 #: Tokens that the models judge. Longer ones than MODEL_CHARS are judged by each part of that length.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 MODEL_CHARS = 64
-#: Documents, the first by hash of their id, and characters of each, from whose words ordinary identifiers are made; random strings made.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_RANDOM = 300, 3000, 3000
+#: Documents, the first by hash of their id and text, and places in the whole text of each, from whose words ordinary identifiers are made; random strings made.
+SAMPLE_DOCS, SAMPLE_PLACES, SAMPLE_RANDOM = 300, 200, 3000
+#: One labelled sample in so many calibrates the limits and trains nothing.
+HELD_OUT = 4
+#: A base span of each kind is looked for among the sorted ones in so many halvings.
+HALVINGS = 31
 ASCII = 128
 
 Spans = Column
@@ -105,17 +111,20 @@ def samples(docs: DataFrame) -> DataFrame:
     b64 = F.translate(F.base64(F.unhex(h)), "=", "")
     forms = F.array(F.substring(h, 1, 40), F.substring(b64, 1, 32), F.substring(F.regexp_replace(F.upper(F.base64(F.unhex(h))), "[^A-Z0-9]", ""), 1, 24), F.substring(F.regexp_replace(b64, "[+/]", ""), 3, 20))
     randoms = spark.range(0, SAMPLE_RANDOM, 1, 1).select(F.explode(forms).alias("string"), F.lit(True).alias("random"))
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("length(text) > 0")
-    texts = hash_sample(texts, SAMPLE_DOCS, "doc_id", "text", total=docs.count())
+    texts = docs.select("doc_id", "text").where("length(text) > 0").withColumn("h", row_hash("doc_id", "text"))
+    texts = texts.where(F.col("h").isin(least_hashes(texts, SAMPLE_DOCS, "doc_id", "text"))).dropDuplicates(["h"])
     words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: (F.length(w) >= 2) & w.rlike(r"^[A-Za-z]+$"))
     words = texts.select(words.alias("w")).withColumn("n", F.size("w")).where("n > 3")
     pick = lambda i: F.get(F.col("w"), F.pmod(i, F.col("n")))
     made = lambda i: F.array(
         F.concat(pick(i), pick(i + 1)), F.lower(F.concat_ws("_", pick(i), pick(i + 1), pick(i + 2))), F.upper(F.concat_ws("_", pick(i), pick(i + 1))),
         F.concat(F.lower(pick(i)), F.initcap(pick(i + 1)), F.initcap(pick(i + 2))), F.concat_ws("-", pick(i), pick(i + 1), F.pmod(i * 7, F.lit(100)).cast("string")), F.concat_ws("/", pick(i), pick(i + 1), pick(i + 2)),
-        F.concat(pick(i), pick(i + 1), pick(i + 2), pick(i + 3)),
+        F.concat(pick(i), pick(i + 1), pick(i + 2), pick(i + 3)), F.concat_ws("/", *[pick(i + j) for j in range(12)]), F.lower(F.concat_ws("-", *[pick(i + j) for j in range(9)])),
     )
-    ordinary = words.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.col("n") - 1, F.lit(200))), made))).alias("string"))
+    # places from the whole text, evenly
+    places = F.least(F.col("n"), F.lit(SAMPLE_PLACES))
+    place = lambda k: F.floor(k * F.col("n") / places).cast("int")
+    ordinary = words.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), places - 1), lambda k: made(place(k))))).alias("string"))
     return randoms.unionAll(ordinary.select("string", F.lit(False).alias("random")))
 
 
@@ -127,10 +136,10 @@ def _pairs(s: Column) -> Column:
 
 
 class Model:
-    def __init__(self, ratios: list[float], threshold: float):
+    def __init__(self, ratios: list[float], threshold: float, bar: float = float("inf")):
         # one literal; it becomes an array once, when the plan is optimised
         self.table = ",".join(f"{x:.4f}" for x in ratios)
-        self.threshold = threshold
+        self.threshold, self.bar = threshold, bar
 
     def _ratios(self) -> Column:
         return F.split(F.lit(self.table), ",").cast("array<double>")
@@ -154,18 +163,30 @@ class Model:
 
         return _let(F.transform(_pairs(s), lambda p: F.get(table, p)), largest)
 
+    def peak(self, s: Column) -> Column:
+        """The largest sum of neighbouring ratios, each less the threshold: high at a random part of any length, wherever it stands."""
+        table = self._ratios()
+
+        def step(acc: Column, p: Column) -> Column:
+            total = F.greatest(F.lit(0.0), acc["total"] + F.get(table, p) - F.lit(self.threshold))
+            return F.struct(total.alias("total"), F.greatest(acc["most"], total).alias("most"))
+
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
+        return F.aggregate(_pairs(s), start, step, lambda acc: acc["most"])
+
     def random(self, token: Column) -> Column:
-        return F.when(F.length(token) > MODEL_CHARS, self.best(token)).otherwise(self.score(token)) > self.threshold
+        whole = F.when(F.length(token) > MODEL_CHARS, self.best(token)).otherwise(self.score(token)) > self.threshold
+        return whole | (self.peak(token) > self.bar) if self.bar < float("inf") else whole
 
 
 def train(labelled: DataFrame) -> Model:
     """Models from (string, random). The counts collected are bounded by the alphabet's pairs.
 
-    The threshold lies between the scores of nearly all ordinary and nearly all
-    random samples that are long enough to be tokens.
+    Both limits lie between nearly all ordinary and nearly all random samples
+    among those that were held out and are long enough to be tokens.
     """
-    labelled = labelled.where(F.col("string").rlike(r"^[\x21-\x7E]{2,}$"))
-    pairs = labelled.select("random", F.explode(_pairs(F.col("string"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
+    labelled = labelled.where(F.col("string").rlike(r"^[\x21-\x7E]{2,}$")).withColumn("held", F.pmod(F.xxhash64("string"), F.lit(HELD_OUT)) == 0)
+    pairs = labelled.where("not held").select("random", F.explode(_pairs(F.col("string"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
     n = {True: [0.0] * ASCII**2, False: [0.0] * ASCII**2}
     for r in pairs.toLocalIterator():
         n[r.random][r.pair] = float(r.n)
@@ -175,12 +196,19 @@ def train(labelled: DataFrame) -> Model:
     for kind, counts in n.items():
         logs[kind] = _smoothed(counts)
     ratios = [a - b for a, b in zip(logs[True], logs[False], strict=True)]
-    model = Model(ratios, 0.0)
-    scored = labelled.where(F.col("string").rlike("^" + TOKEN + "$")).select("random", model.score(F.col("string")).alias("s"))
-    at = scored.agg(F.percentile(F.when(~F.col("random"), F.col("s")), 0.9995).alias("o"), F.percentile(F.when(F.col("random"), F.col("s")), 0.02).alias("r")).first()
-    if at.o is None or at.r is None:
+    tokens = labelled.where(F.col("held") & F.col("string").rlike("^" + TOKEN + "$"))
+
+    def limits(value: Column) -> tuple[float | None, float | None]:
+        scored = tokens.select("random", value.alias("s"))
+        at = scored.agg(F.percentile(F.when(~F.col("random"), F.col("s")), 0.9995).alias("o"), F.percentile(F.when(F.col("random"), F.col("s")), 0.02).alias("r")).first()
+        return at.o, at.r
+
+    most, least = limits(Model(ratios, 0.0).score(F.col("string")))
+    if most is None or least is None:
         return Model(ratios, 0.5)
-    return Model(ratios, max(at.o + 0.05, (at.o + at.r) / 2))
+    threshold = max(most + 0.05, (most + least) / 2)
+    most, least = limits(Model(ratios, threshold).peak(F.col("string")))
+    return Model(ratios, threshold, max(most + 1.0, (most + least) / 2))
 
 
 def _smoothed(counts: list[float], strength: float = 20.0) -> list[float]:
@@ -202,13 +230,24 @@ def _smoothed(counts: list[float], strength: float = 20.0) -> list[float]:
 def find(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, and arrays of spans: assign, access, hex, added."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    model = train(labelled if labelled is not None else samples(docs))
+    model = train(labelled if labelled is not None else written(samples(docs), "samples"))
     text = F.col("text")
     assign, access, hexes = base(text)
     out = docs.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), spans(text, "random", TOKEN, model.random).alias("added"))
-    clear = lambda s, known: ~F.exists(known, lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"]))
-    added = _let(F.concat("assign", "access", "hex"), lambda known: F.filter("added", lambda s: clear(s, known)))
-    return out.withColumn("added", added)
+    # spans of a kind do not overlap: only the last one that starts before another's end can touch it
+    touches = lambda s, known: F.coalesce(F.get(known, _earlier(known, s["end"]) - 1)["end"] > s["start"], F.lit(False))
+    clear = F.filter("added", lambda s: ~(touches(s, F.col("assign")) | touches(s, F.col("access")) | touches(s, F.col("hex"))))
+    return out.withColumn("added", F.when(F.size("added") > 0, clear).otherwise(F.col("added")))
+
+
+def _earlier(spans: Spans, end: Column) -> Column:
+    """How many of the spans, which are in order, start before ``end``: by halving."""
+
+    def step(low: Column, bit: Column) -> Column:
+        at = low + F.pow(F.lit(2.0), bit).cast("long")
+        return F.when((at <= F.size(spans)) & (F.get(spans, (at - 1).cast("int"))["start"] < end), at).otherwise(low)
+
+    return F.aggregate(F.sequence(F.lit(HALVINGS - 1), F.lit(0), F.lit(-1)), F.lit(0).cast("long"), step).cast("int")
 
 
 def joined(*arrays: str) -> Column:

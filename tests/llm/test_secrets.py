@@ -104,3 +104,59 @@ def test_very_many_matches(spark):
     """Positions take time in proportion to a text, however many matches it has."""
     rows = [(1, "enthonthreandedin " * 60_000), (2, "deadbeefdeadbeef " * 3000 + "token=abcdefghijkl " * 2000)]
     check(rows, secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_keys_within_paths(spark, sf):
+    """A short key is found in a long token, far from its ends and from 64 random characters."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = [w for x in docs.select("text").limit(60).collect() for w in re.findall(r"[a-z]{4,9}", x.text)]
+    model = secrets.train(secrets.samples(docs))
+    paths = []
+    for _ in range(100):
+        w = [r.choice(words) for _ in range(30)]
+        key = "".join(r.choice(letters) for _ in range(24))
+        paths += [("/".join([*w[:15], key, *w[15:]]), True), ("/".join(w), False)]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame(paths, "t string, y boolean").select("y", model.random(F.col("t")).alias("p")).collect()
+    assert sum(x.p for x in got if x.y) >= 98 and sum(x.p for x in got if not x.y) <= 1
+
+
+def test_random_spans_of_whole_texts(spark, sf):
+    """The added spans are, by brute force, the tokens over either limit that touch no base span."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    r = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    model = secrets.train(secrets.samples(docs))
+    ratios = [float(x) for x in model.table.split(",")]
+
+    def is_random(token):
+        pairs = [ratios[ord(a) * secrets.ASCII + ord(b)] for a, b in zip(token, token[1:], strict=False)]
+        n = secrets.MODEL_CHARS - 1
+        mean = max(sum(pairs[i : i + n]) / n for i in range(len(pairs) - n + 1)) if len(token) > n + 1 else sum(pairs) / len(pairs)
+        total = most = 0.0
+        for x in pairs:
+            total = max(0.0, total + x - model.threshold)
+            most = max(most, total)
+        return mean > model.threshold or most > model.bar
+
+    rows = []
+    for i, row in enumerate(docs.collect()):
+        words = row.text.split()
+        for _ in range(r.randrange(4)):
+            made = "".join(r.choice(letters) for _ in range(r.randint(10, 90)))
+            words.insert(r.randrange(len(words) + 1), r.choice([made, "token=" + made, "/".join([*words[:9], made]), "0123456789abcdef" + made, "-".join(words[:12])]))
+        rows.append((i, " ".join(words)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.find(sample, secrets.samples(docs)).select("doc_id", "added").collect()
+    some = 0
+    for got in found:
+        text = rows[got.doc_id][1]
+        base = brute(text)
+        expected = [m.span() for m in re.finditer(secrets.TOKEN, text) if is_random(m[0])]
+        expected = [(a, b) for a, b in expected if all(b <= x or a >= y for _, x, y in base)]
+        assert [(x.start, x.end) for x in got.added] == expected
+        some += len(expected)
+    assert some > 50
