@@ -128,6 +128,21 @@ def row_hash(*columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)
 
 
+#: Rows that one task makes of a counted row at once.
+EXPAND = 10_000
+
+
+def expanded(rows: DataFrame, n: str, number: str) -> DataFrame:
+    """Each row n times, numbered from 0 in ``number``; a row that stands for very many is dealt over tasks in parts."""
+    (first,) = fresh(rows.drop(n), "first")
+    last = F.col(n).cast("long") - 1
+    few = rows.where(F.col(n) <= EXPAND).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    many = rows.where(F.col(n) > EXPAND).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(EXPAND).cast("long"))))
+    many = many.repartition(F.col(first), F.xxhash64(*rows.columns))
+    many = many.withColumn(number, F.explode(F.sequence(first, F.least(F.col(first) + EXPAND - 1, last)))).drop(first)
+    return few.unionByName(many)
+
+
 def hash_sample(df: DataFrame, n: int, *ids: str, total: int | None = None) -> DataFrame:
     """The n rows, of about ``total``, with the least hash of their ids; equal ones in the order of all ids.
 

@@ -3,13 +3,17 @@
 Captures are written as gzip members, one WARC record each, through Spark's
 text writer, so any store that Spark writes to will do. Payloads equal to one
 of a smaller id become revisit records. Reading back, each task checks the
-records it reads and leaves a capture run sorted by (URL key, timestamp, id);
-runs are stored, their key ranges dealt over tasks, and each task merges its
-slices of all runs with a loser tree. The ranges are in order, so their merged
-parts laid end to end are the globally ordered capture histories.
-
-Defined results: a null payload is empty; a null url has the empty key; rows
-with a null id come first in a history and never have revisits refer to them;
+records it reads and leaves capture runs of bounded length, sorted by (URL key,
+timestamp, id). Runs are stored, their key ranges dealt over tasks, and each task
+merges its slices of all runs with a loser tree. A task's rows arrive block by
+block in the order of the blocks' first keys, so it holds one block of each run
+and a bounded number of rows besides, and hands on all rows before the next
+block's first key. The ranges are in order, so their merged parts laid end to
+end are the globally ordered capture histories.
+
+Defined results: a null payload is empty; a null url has the empty key; any id
+has a capture time, the first or last one there is if its own cannot be written;
+rows with a null id come first in a history and never have revisits refer to them;
 repeated rows are captures of their own, and rows that share the smallest id of
 equal payloads are all responses; empty tables give empty results; other
 columns are ignored.
@@ -20,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
@@ -36,6 +40,11 @@ LEAST_SHARED = 100
 BROADCAST_GROUPS = 100_000
 #: Page n of a table without capture times was captured n seconds after this.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+FIRST, LAST = datetime(1, 1, 2, tzinfo=UTC), datetime(9999, 12, 30, tzinfo=UTC)
+#: Captures of a run, and of a block of a run; rows that a merge takes in before it builds its tree anew.
+RUN_ROWS, BLOCK_ROWS, CHUNK_ROWS = 50_000, 500, 20_000
+#: Captures of a key range, expected; small tables have as many ranges as a shuffle has partitions.
+RANGE_ROWS = 500_000
 #: An empty gzip member. It ends each record's own member, and cannot occur
 #: in stored UTF-8 text, as no character has these first two bytes.
 SEPARATOR = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
@@ -76,9 +85,15 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
+def captured(page_id: int | None) -> str:
+    """Times in the order of the ids; 20 characters for all of them."""
+    seconds = min(max(page_id or 0, int((FIRST - EPOCH).total_seconds())), int((LAST - EPOCH).total_seconds()))
+    return (EPOCH + timedelta(seconds=seconds)).replace(tzinfo=None).isoformat(timespec="seconds") + "Z"
+
+
 def record(page_id: int | None, url: str | None, key: str, html: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit holds the HTTP header alone."""
-    when = (EPOCH + timedelta(seconds=page_id or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    when = captured(page_id)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
     block = http if refers_to is not None else http + html
     clean = lambda s: re.sub(r"[\r\n]", " ", s)
@@ -145,29 +160,39 @@ def sort_key(row: tuple) -> tuple:
     return row[0], row[1], row[2] is not None, row[2] or 0
 
 
+RUNS = "run long, pos long, block_url_key string, block_captured string, block_page_id long, " + INDEX
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One capture run for each task that reads the archives: its number, and its captures in order."""
+    """Capture runs of at most RUN_ROWS rows: a run's number, a row's place in it, the first key of its block, and the capture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows = TaskContext.get().partitionId(), []
+        number, rows = TaskContext.get().partitionId() << 24, []
         for b in batches:
             for member in b.column("member"):
                 if raw := member.as_py():
                     got = parsed(zlib.decompress(raw, 31))
                     rows.append(tuple(got[f] for f in _FIELDS))
+                if len(rows) == RUN_ROWS:
+                    yield from blocks(number, rows)
+                    number, rows = number + 1, []
+        yield from blocks(number, rows)
+
+    def blocks(number: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=sort_key)
-        for at in range(0, len(rows), 10_000):
-            yield _batch([(number, *r) for r in rows[at : at + 10_000]], "run int, " + INDEX)
+        placed = [(number, i, *rows[i - i % BLOCK_ROWS][:3], *r) for i, r in enumerate(rows)]
+        for at in range(0, len(placed), 10_000):
+            yield _batch(placed[at : at + 10_000], RUNS)
 
     members = spark.read.option("lineSep", LATIN).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("member"))
-    return map_arrow(members, run, "run int, " + INDEX)
+    return map_arrow(members, run, RUNS)
 
 
 class LoserTree:
     """Merges sorted iterators: inner nodes hold losers, and only the path of the last winner is replayed."""
 
-    def __init__(self, runs: Iterable[Iterable[tuple]]):
-        self.runs = [iter(r) for r in runs]
+    def __init__(self, runs: Iterable[Iterable[tuple]], key: Callable[[tuple], tuple] = sort_key):
+        self.runs, self.key = [iter(r) for r in runs], key
         self.size = 1
         while self.size < len(self.runs):
             self.size *= 2
@@ -177,7 +202,7 @@ class LoserTree:
 
     def _next(self, i: int) -> tuple[bool, tuple, tuple | None]:
         row = next(self.runs[i], None) if i < len(self.runs) else None
-        return (True, (), None) if row is None else (False, sort_key(row), row)
+        return (True, (), None) if row is None else (False, self.key(row), row)
 
     def _beats(self, i: int, j: int) -> bool:
         a, b = self.heads[i], self.heads[j]
@@ -192,7 +217,11 @@ class LoserTree:
         return winner
 
     def __iter__(self) -> Iterator[tuple]:
-        while not self.heads[self.winner][0]:
+        return self.until(None)
+
+    def until(self, limit: tuple | None) -> Iterator[tuple]:
+        """Rows in order, up to the first whose key is not less than ``limit``."""
+        while not self.heads[self.winner][0] and (limit is None or self.heads[self.winner][1] < limit):
             i = self.winner
             yield self.heads[i][2]
             self.heads[i] = self._next(i)
@@ -203,25 +232,53 @@ class LoserTree:
                 node //= 2
             self.winner = i
 
+    def left(self) -> list[list[tuple]]:
+        """What the merge has not handed on of each run that is not done."""
+        return [[head[2], *run] for head, run in zip(self.heads, self.runs, strict=False) if not head[0]]
+
+
+def streamed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Merges (run, pos, first key of the block, capture), which arrive in the order of (first key, run, pos).
+
+    A row that has not arrived yet lies behind the first key of the last block
+    that has, so everything before it can be handed on. Of each run no more than
+    one block waits.
+    """
+
+    def place(row: tuple) -> tuple:
+        return *sort_key(row[5:]), row[0], row[1]
+
+    waiting: list[list[tuple]] = []
+    coming: dict[int, list[tuple]] = {}
+    held = 0
+    last = None
+    for row in rows:
+        block = (row[0], row[1] // BLOCK_ROWS)
+        if block != last and held >= max(CHUNK_ROWS, 2 * sum(map(len, waiting))):
+            tree = LoserTree([*waiting, *coming.values()], place)
+            yield from tree.until((*sort_key(row[2:5]), row[0], row[1]))
+            waiting, coming, held = tree.left(), {}, 0
+        last = block
+        coming.setdefault(row[0], []).append(row)
+        held += 1
+    yield from LoserTree([*waiting, *coming.values()], place)
+
 
 def merged(runs: DataFrame) -> DataFrame:
     """All captures with ``position``, their place in the global order by (url_key, captured, page_id).
 
-    ``runs`` are sorted runs. Key ranges are found by Spark's sampling; as they
-    include the id, a URL with very many captures spans ranges. A task holds one
-    range's slices.
+    ``runs`` are those of ``read_runs``. Key ranges are as many as the rows ask for
+    and found by Spark's sampling; as they include the id, the run and the place in
+    it, a URL with very many captures, or one capture repeated, spans ranges.
     """
     spark = runs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, list[tuple]] = {}
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                slices.setdefault(r[0], []).append(r[1:])
+        incoming = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         rows, part, at = [], TaskContext.get().partitionId(), 0
-        for row in LoserTree(slices.values()):
-            rows.append((part, at, *row))
+        for row in streamed(incoming):
+            rows.append((part, at, *row[5:]))
             at += 1
             if len(rows) == 10_000:
                 yield _batch(rows, "part int, at long, " + INDEX)
@@ -229,9 +286,9 @@ def merged(runs: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows, "part int, at long, " + INDEX)
 
-    order = ["url_key", "captured", "page_id"]
-    ranged = runs.repartitionByRange(parts, *order).sortWithinPartitions("run", *order)
-    out = written(map_arrow(ranged.select("run", *_FIELDS), run, "part int, at long, " + INDEX), "histories")
+    ranged = runs.repartitionByRange(parts, "url_key", "captured", "page_id", "run", "pos")
+    ranged = ranged.sortWithinPartitions("block_url_key", "block_captured", "block_page_id", "run", "pos")
+    out = written(map_arrow(ranged, run, "part int, at long, " + INDEX), "histories")
     # a row for each range
     counts = out.groupBy("part").agg(F.count("*").alias("rows"))
     start = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -96,3 +96,57 @@ def test_sql_tells_the_same(spark, sf):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         same(queries.QUERIES[name](spark, sf), con, sql)
+
+
+def test_ids_of_any_size(spark):
+    ids = [-(1 << 63), -(1 << 40), -1, 0, 10**12, (1 << 63) - 1]
+    rows = [(i, "http://a.example/", "p" * 150) for i in ids] + [(10**12, "http://a.example/", "q" * 150)]
+    got = sorted(warc.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.position)
+    assert [r.page_id for r in got] == sorted(i for i, _, _ in rows)
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {-(1 << 63)}
+    times = [warc.captured(i) for i in ids]
+    assert times == sorted(times) and {len(t) for t in times} == {20}
+
+
+def _run_rows(runs):
+    rows = []
+    for number, run in enumerate(runs):
+        run = sorted(run, key=warc.sort_key)
+        rows += [(number, i, *run[i - i % warc.BLOCK_ROWS], *r) for i, r in enumerate(run)]
+    return sorted(rows, key=lambda r: (*warc.sort_key(r[2:5]), r[0], r[1]))
+
+
+def test_streamed_merge(monkeypatch):
+    r = random.Random(6)
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(warc, "CHUNK_ROWS", 5)
+    for _ in range(200):
+        keys = r.choice(["a", "ab", "abcdef"])
+        runs = [[(r.choice(keys), r.choice("xy"), r.choice([None, *range(r.choice([1, 40]))])) for _ in range(r.randrange(40))] for _ in range(r.randrange(6))]
+        got = [x[5:] for x in warc.streamed(iter(_run_rows(runs)))]
+        assert got == sorted((x for run in runs for x in run), key=warc.sort_key)
+
+
+def test_merge_holds_little():
+    """A range ten times as long takes no more memory."""
+    import tracemalloc
+
+    def peak(n):
+        def rows():
+            # 8 runs over the same keys, in the order in which a shuffle hands their blocks on
+            for block in range(n // 8 // warc.BLOCK_ROWS):
+                for run in range(8):
+                    first = block * warc.BLOCK_ROWS
+                    for pos in range(first, first + warc.BLOCK_ROWS):
+                        yield run, pos, "k", "t", first * 8 + run, "k", "t", pos * 8 + run
+
+        tracemalloc.start()
+        last = -1
+        for x in warc.streamed(rows()):
+            assert x[7] > last
+            last = x[7]
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return size
+
+    assert peak(400_000) < 1.3 * peak(40_000)
