@@ -34,9 +34,7 @@ _MIXING = f"""
 WITH d AS (
   SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size FROM documents
 ), t AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows,
-         CAST(sum(CAST(size AS HUGEINT) * size) AS DOUBLE) AS squares
-  FROM d GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows FROM d GROUP BY source
 ), w AS (
   SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight,
          CAST(source_size * 2 AS DOUBLE) AS bound
@@ -48,13 +46,20 @@ WITH d AS (
 ), g AS (
   SELECT *, least(bound, weight * coalesce(max(CASE WHEN level <= bound / weight THEN level END) OVER (), 0)) AS target FROM r
 ), x AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole, source_size::DOUBLE / source_rows AS mean FROM g
 ), y AS (SELECT *, target - whole * source_size AS rest FROM x),
+h AS (
+  SELECT source, size, count(*)::DOUBLE AS n FROM d WHERE size > 0 GROUP BY source, size
+), c AS (
+  SELECT h.source, h.size, mean, (rest - coalesce(sum(n * size) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / (sum(n * size * size) OVER a + mean * sum(n * size) OVER a) AS factor
+  FROM h JOIN y ON h.source IS NOT DISTINCT FROM y.source WHERE rest > 0
+  WINDOW a AS (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), z AS (SELECT source, arg_max(factor, size) AS factor FROM c WHERE factor * (size + mean) < 1 GROUP BY source),
 q AS (
-  SELECT d.doc_id, d.size, y.source_size, y.target, y.whole, y.rest, y.source,
-         rest * (size + source_size::DOUBLE / source_rows) / (squares + source_size::DOUBLE / source_rows * source_size) AS p,
+  SELECT d.doc_id, d.size, y.source_size, y.target, y.whole, y.rest, y.source, factor * (size + mean) AS p,
          (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source
+  FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source LEFT JOIN z ON d.source IS NOT DISTINCT FROM z.source
 ), v AS (
   SELECT *, CASE WHEN p >= 1 THEN 0.0 ELSE u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS rank FROM q
 ), s AS (

@@ -24,7 +24,7 @@ def brute_targets(sizes):
 
 
 def brute(rows):
-    """rows: (doc_id, text, source) with distinct (id, size) in a source."""
+    """rows: (doc_id, text, source) with distinct (id, size) in a source: a row is known by them."""
     docs = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for i, t, s in rows]
     by = defaultdict(list)
     for d in docs:
@@ -35,10 +35,19 @@ def brute(rows):
     for s, v in by.items():
         whole = int(target[s] // total[s]) if total[s] else 0
         rest = target[s] - whole * total[s]
-        squares, mean = float(sum(x[1] ** 2 for x in v)), total[s] / len(v)
+        mean, certain = total[s] / len(v) if v else 0, set()
+        # documents whose probability would be 1 or more are certain, and the others' are set anew
+        while True:
+            free = [x for x in v if x not in certain]
+            squares = float(sum(x[1] * (x[1] + mean) for x in free))
+            factor = (rest - sum(x[1] for x in certain)) / squares if squares else 0
+            more = {x for x in free if factor * (x[1] + mean) >= 1}
+            if not more:
+                break
+            certain |= more
         ranked = []
         for i, n, _ in v:
-            p = rest * (n + mean) / (squares + mean * total[s]) if total[s] else 0
+            p = 1 if (i, n, s) in certain else factor * (n + mean)
             u = (int(hashlib.md5(f"{'-' if i is None else i}:{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             ranked.append((0.0 if p >= 1 else u * (1 - p) / (u * (1 - p) + (1 - u) * p), i is not None, i or 0, n))
         before = 0
@@ -92,3 +101,43 @@ def test_longer_documents_are_likelier(spark):
     got = [r for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
     again = {n: [r.taken // r.size for r in got if r.size == n] for n in (10, 100)}
     assert len(set(again[10] + again[100])) <= 2
+
+
+def test_repeated_rows_meet_the_target(spark):
+    """Of very many equal rows as many are taken as the target asks for, whatever their id."""
+    for hot in (7, 8, 9):
+        rows = [(hot, "w " * 10, "a")] * 2000 + [(100 + i, "w " * (5 + i % 20), "a") for i in range(1000)] + [(at + i, "w " * 10, s) for s, at in (("b", 5000), ("c", 10_000)) for i in range(4000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mixed(docs).collect()
+        words, target = defaultdict(int), {}
+        source = {i: s for i, _, s in rows}
+        for r in got:
+            words[source[r.doc_id]] += r.taken
+            target[source[r.doc_id]] = r.target
+        assert len(got) == len(rows)
+        assert all(abs(words[s] - target[s]) <= 13 for s in target)
+        out = mixing.mix(docs).collect()
+        assert sum(len(r.text.split()) for r in out) == sum(words.values())
+
+
+def test_expected_words_are_the_wanted_ones(spark):
+    """Inclusion probabilities, recomputed after the certain documents, add up to the words wanted."""
+    from pyspark.sql import functions as F
+
+    sizes = [1000, 700, 40, 40, 30, 20, 20, 10, 10, 10, 5, 5, 5, 5, 1]
+    rows = [(i, n, "a") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    t = spark.createDataFrame([("a", 1700.0, sum(sizes) / len(sizes))], "source string, rest double, mean double")
+    made = mixing.factors(t, df.groupBy("source", "size").agg(F.count("*").alias("n"))).first()
+    p = [min(1.0, made.factor * (n + made.mean)) for n in sizes]
+    assert sum(a * b for a, b in zip(p, sizes, strict=True)) == pytest.approx(1700)
+    assert p[0] == 1.0 and p[-1] < p[5] < p[2] < 1
+
+
+def test_sources_of_any_number(spark):
+    """Targets of very many sources are those of the brute-force version."""
+    sizes = {f"s{i:04d}": (i * 37) % 101 + 1 for i in range(900)} | {None: 5, "": 9}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
