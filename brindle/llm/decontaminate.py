@@ -6,8 +6,11 @@ most e. Shared q-grams are counted in overlapping bands of diagonals; bands
 that meet the bound are verified by banded alignment of the whole item.
 
 Texts are compared without case, and with every run of characters other than
-letters and digits as one space. Items are the queries: they are collected in
-blocks of bounded size, and each block is matched with all documents.
+letters and digits as one space. Items are the queries: the driver reads them
+block by block, each of bounded size, and each block is matched with all
+documents before the next one is read. Shared q-grams of a text are counted in
+bounded slices of its positions; a band's count is complete, and let go, once
+the positions have passed the end of its item.
 
 Defined results: null and empty texts, and items without letters or digits,
 match nothing; an item too short for q-grams must occur exactly; repeated rows
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_arrow
+from brindle.llm.common import drop_written, map_arrow, written
 
 Q, EDITS = 10, 0.06
 #: Characters of the items that are held by a task at once.
 BLOCK_CHARS = 4_000_000
 BITS = 22
+#: Shared q-grams that are counted at once, and characters of a text that are hashed at once.
+SLICE_HITS, SLICE_CHARS = 1_000_000, 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FOLD: list[np.ndarray] = []
 
@@ -109,34 +114,55 @@ class Items:
         self.edit = np.array(self.edits, np.int64)
         self.length = np.array([len(c) for c in self.code], np.int64)
 
+    def _shared(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions whose q-gram an item has, with the range of its places in ``hashes``: in slices with a bounded number of hits."""
+        for start in range(0, len(code) - Q + 1, SLICE_CHARS):
+            h = grams(code[start : start + SLICE_CHARS + Q - 1])
+            at = np.flatnonzero(self.seen[(h * MULTIPLIER) >> np.uint64(64 - BITS)])
+            low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
+            some = high > low
+            at, low, high = at[some] + start, low[some], high[some]
+            if len(at):
+                cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // SLICE_HITS)) + 1
+                yield from zip(*(np.split(x, cuts) for x in (at, low, high)), strict=True)
+
     def bands(self, code: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal, last diagonal) of each band with enough shared q-grams."""
-        h = grams(code)
-        at = np.flatnonzero(self.seen[(h * MULTIPLIER) >> np.uint64(64 - BITS)]) if len(h) and len(self.hashes) else np.zeros(0, np.int64)
-        low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        n = high - low
-        if not n.sum():
+        if not len(self.hashes):
             return []
-        hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item = self.which[hit]
-        diagonal = np.repeat(at, n) - self.place[hit]
-        e = self.edit[item]
-        # bands start every e + 1 diagonals and are 2e + 1 wide: any e + 1 neighbours lie in one
-        band = diagonal // (e + 1)
-        again = (diagonal - band * (e + 1) < e) & (e > 0)
         # one number for (item, band), bands counted from the least that can occur
         lowest = -int(self.length.max()) - 2
         span = len(code) - lowest + 2
-        key = item * span + band - lowest
-        found, count = np.unique(np.concatenate([key, key[again] - 1]), return_counts=True)
-        k = found // span
-        enough = count >= np.maximum(1, self.length[k] - Q + 1 - Q * self.edit[k])
-        out = []
-        for x in found[enough].tolist():
-            i, e = x // span, self.edits[x // span]
-            first = (x % span + lowest) * (e + 1)
-            out.append((i, first, first + 2 * e))
-        return out
+        keys, counts, out = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def first_of(keys: np.ndarray) -> np.ndarray:
+            return (keys % span + lowest) * (self.edit[keys // span] + 1)
+
+        def close(keys: np.ndarray, counts: np.ndarray) -> None:
+            k = keys // span
+            for x in keys[counts >= np.maximum(1, self.length[k] - Q + 1 - Q * self.edit[k])].tolist():
+                first = int(first_of(np.array([x]))[0])
+                out.append((x // span, first, first + 2 * self.edits[x // span]))
+
+        for at, low, high in self._shared(code):
+            n = high - low
+            hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item = self.which[hit]
+            diagonal = np.repeat(at, n) - self.place[hit]
+            e = self.edit[item]
+            # bands start every e + 1 diagonals and are 2e + 1 wide: any e + 1 neighbours lie in one
+            band = diagonal // (e + 1)
+            again = (diagonal - band * (e + 1) < e) & (e > 0)
+            key = item * span + band - lowest
+            found, count = np.unique(np.concatenate([key, key[again] - 1]), return_counts=True)
+            every, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([counts, count]), minlength=len(every)).astype(np.int64)
+            k = every // span
+            passed = first_of(every) + 2 * self.edit[k] + self.length[k] <= at[-1]
+            close(every[passed], total[passed])
+            keys, counts = every[~passed], total[~passed]
+        close(keys, counts)
+        return sorted(out)
 
     def matches(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item_id, start, end, edits) in code points of ``text``, end exclusive."""
@@ -217,7 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, start long, end long, edits long"
     out = None
-    for block in blocks(benchmark):
+    for block, alone in _with_alone(blocks(benchmark)):
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             items = Items(block)
@@ -227,6 +253,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
         part = map_arrow(docs, run, schema)
+        # of several blocks each is done before the next one is read, so that none waits in a plan
+        part = part if alone else written(part, "leaks")
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -234,7 +262,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, whose text holds no item."""
     columns, schema = docs.columns, docs.schema
-    for block in blocks(benchmark):
+    earlier = None
+    for block, alone in _with_alone(blocks(benchmark)):
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             items, at = Items(block), columns.index("text")
@@ -242,4 +271,19 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield b.filter(pa.array([not t.is_valid or not items.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 
         docs = map_arrow(docs, run, schema)
+        if not alone:
+            docs = written(docs, "clean")
+            if earlier is not None:
+                drop_written(earlier)
+            earlier = docs
     return docs
+
+
+def _with_alone(found: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block, and whether it is the only one."""
+    first, second = next(found, None), next(found, None)
+    if first is not None:
+        yield first, second is None
+    while second is not None:
+        yield second, False
+        second = next(found, None)

@@ -83,3 +83,56 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert decontaminate.leaks(none, items).count() == 0
     assert decontaminate.leaks(odd, items.limit(0)).count() == 0
     assert decontaminate.without_leaks(odd, items.limit(0)).count() == len(odd_rows)
+
+
+def test_slices_change_nothing(monkeypatch):
+    """Counting in small slices of positions finds the same bands, also where common q-grams hit very often."""
+    r = random.Random(8)
+    words = ["alpha", "beta", "gamma", "the the the", "of of"]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([3, 9, 40])))) for i in range(15)] + [(99, "word " * 60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([5, 80, 300]))) for _ in range(25)] + ["word " * 400]
+    known = decontaminate.Items(items)
+    whole = [known.bands(decontaminate.normal(t)[0]) for t in texts]
+    assert any(whole)
+    monkeypatch.setattr(decontaminate, "SLICE_HITS", 50)
+    assert [known.bands(decontaminate.normal(t)[0]) for t in texts] == whole
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 37)
+    assert [known.bands(decontaminate.normal(t)[0]) for t in texts] == whole
+
+
+def test_common_grams_take_little_memory():
+    import tracemalloc
+
+    known = decontaminate.Items([(1, "word " * 198)])
+    code = decontaminate.normal("word " * 20_000)[0]
+    tracemalloc.start()
+    assert known.bands(code)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+
+
+def test_blocks_of_the_filter(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4000)
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == whole
+
+
+def test_whole_table_with_edits(spark, sf):
+    """Against brute force on a whole small table: the pairs found are those within an item's edit budget."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("length(text) < 900").limit(40).collect()
+    items = [b for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:12]
+    r = random.Random(5)
+    rows = []
+    for d in docs:
+        text = folded(d.text)
+        if r.random() < 0.6:
+            chars = list(folded(r.choice(items).text))
+            for _ in range(r.randint(0, 12)):
+                chars[r.randrange(len(chars))] = r.choice("xyz")
+            text += " " + "".join(chars)
+        rows.append((d.doc_id, text))
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items)).collect()}
+    near = {(i, b.item_id) for i, t in rows for b in items if distance(folded(b.text), folded(t)) <= budget(folded(b.text))}
+    assert near and found == near
