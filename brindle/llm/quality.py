@@ -3,15 +3,21 @@
 Counts of each text give a badness, the largest of several measures over their
 fixed scales. In each stratum (language) a cutoff on the badness is selected
 from a fixed grid: of the labelled good documents of the stratum, how many
-would it reject? A cutoff is valid if the exact binomial upper bound on that
-share, at a level divided by all cutoffs and strata tested, is within
-``RISK``. Among valid cutoffs the one that rejects most labelled bad documents
-is used, the most lenient of those that do nearly as well. A stratum with too
-few labels has no valid cutoff, and there the method rejects nothing.
+would it reject? Rejections are nested, so cutoffs are tested as a fixed
+sequence, from the most lenient on: each is valid if the exact binomial upper
+bound on that share is within ``RISK``, and the first that is not ends the
+sequence. The level is divided by the strata with labels enough for a bound;
+one whose whole sequence is valid hands its part on to the others (Holm). The
+chance that any stratum uses a cutoff with a greater risk is at most ``LEVEL``.
+Among valid cutoffs the one that rejects most labelled bad documents is used,
+the most lenient of those that do nearly as well. A stratum with too few labels
+has no valid cutoff, and there the method rejects nothing. Labelled documents
+with equal texts are one draw, not several, and count once.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null lang is a stratum; repeated rows each get their row; ids labelled more
-than once count with their least label; other columns are ignored.
+than once count with their least label; texts are read whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,10 +79,10 @@ def measured(docs: DataFrame) -> DataFrame:
         for b in batches:
             got = [counts(x.as_py() or "") for x in b.column("text")]
             columns = [pa.array([g[i] for g in got], pa.int64()) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], ["doc_id", "lang", *COUNTS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("text_hash"), *columns], ["doc_id", "lang", "text_hash", *COUNTS])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    return map_arrow(docs, run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.xxhash64("text").alias("text_hash"))
+    return map_arrow(docs, run, "doc_id long, lang string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def badness() -> Column:
@@ -117,34 +123,66 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
+def valid(good: list[int], n_good: int, level: float) -> int:
+    """How many cutoffs, from the most lenient on, have a bound within RISK at this level."""
+    n = 0
+    for k in reversed(good):
+        # a share of more than RISK cannot have a bound within it; this also keeps the sums short
+        if k > RISK * n_good or upper_bound(k, n_good, level) > RISK:
+            break
+        n += 1
+    return n
+
+
+def chosen(bad: list[int], n: int) -> float | None:
+    """A cutoff from the n most lenient ones, or none if they reject no bad documents."""
+    first = len(CUTOFFS) - n
+    most = max(bad[first:], default=0)
+    return CUTOFFS[max(i for i in range(first, len(CUTOFFS)) if bad[i] >= (1 - SLACK) * most)] if most else None
+
+
 def select(good: list[int], n_good: int, bad: list[int], tests: int) -> float | None:
-    """A cutoff of CUTOFFS from the labelled documents it rejects, or none."""
-    # a share of more than RISK cannot have a bound within it; this also keeps the sums short
-    valid = [i for i, k in enumerate(good) if k <= RISK * n_good and upper_bound(k, n_good, LEVEL / tests) <= RISK]
-    if not valid or not (most := max(bad[i] for i in valid)):
-        return None
-    return CUTOFFS[max(i for i in valid if bad[i] >= (1 - SLACK) * most)]
+    """The cutoff of one stratum of ``tests`` from the labelled documents that each cutoff rejects, or none."""
+    return chosen(bad, valid(good, n_good, LEVEL / tests))
+
+
+def enough(level: float) -> float:
+    """Labelled good documents that a bound within RISK takes when none is rejected."""
+    return math.log(level) / math.log1p(-RISK)
+
+
+def tested(sizes: list[int]) -> int:
+    """How many strata, the largest first, can have a cutoff if the level is divided by them; it depends on their sizes alone."""
+    sizes = sorted(sizes, reverse=True)
+    return max((m for m in range(1, len(sizes) + 1) if sizes[m - 1] >= enough(LEVEL / m)), default=0)
 
 
 def strata(held: DataFrame) -> DataFrame:
-    """lang, n_good, good, bad: labelled good documents of each language, and how many good and bad ones each cutoff rejects."""
+    """lang, n_good, good, bad: labelled good documents of each language, and how many good and bad ones each cutoff rejects; equal texts count once."""
+    once = held.groupBy("lang", "quality", "text_hash").agg(F.max("badness").alias("badness"))
     rejected = lambda quality: F.array(*[F.sum(((F.col("badness") > c) & (F.col("quality") == quality)).cast("long")) for c in CUTOFFS])
-    return held.groupBy("lang").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n_good"), rejected(1).alias("good"), rejected(0).alias("bad"))
+    return once.groupBy("lang").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n_good"), rejected(1).alias("good"), rejected(0).alias("bad"))
 
 
-def cutoffs(table: DataFrame, tests: int) -> DataFrame:
+def cutoffs(table: DataFrame) -> DataFrame:
     """(lang, cutoff) of the languages that have one.
 
-    Only languages with labels enough for a bound within RISK are read, so
-    their number is bounded by that of the labels, not of the languages.
+    Only languages with labels enough for a bound within RISK at the whole
+    level are read, so their number is bounded by that of the labels, not of
+    the languages.
     """
-    least = math.log(LEVEL / max(tests, 1)) / math.log1p(-RISK) - 1
-    chosen = []
-    for r in table.where(F.col("n_good") >= least).toLocalIterator():
-        cut = select(r.good, r.n_good, r.bad, tests)
-        if cut is not None:
-            chosen.append((r.lang, cut))
-    return table.sparkSession.createDataFrame(chosen, "lang string, cutoff double")
+    rows = sorted(table.where(F.col("n_good") >= enough(LEVEL)).collect(), key=lambda r: (-r.n_good, r.lang))
+    rows = rows[: tested([r.n_good for r in rows])]
+    level, done, depth = LEVEL / max(1, len(rows)), set(), {}
+    while True:
+        depth = {r.lang: valid(r.good, r.n_good, level) for r in rows}
+        whole = {lang for lang, n in depth.items() if n == len(CUTOFFS)}
+        if whole == done or len(whole) == len(rows):
+            break
+        # strata whose sequence is through leave their part to the others
+        done, level = whole, LEVEL / (len(rows) - len(whole))
+    found = [(r.lang, cut) for r in rows if (cut := chosen(r.bad, depth[r.lang])) is not None]
+    return table.sparkSession.createDataFrame(found, "lang string, cutoff double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,8 +190,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = written(measured(docs).withColumn("badness", badness()), "quality")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = stats.where(~base_failed()).join(known, "doc_id")
-    table = written(strata(held), "strata")
-    cuts = cutoffs(table, table.count() * len(CUTOFFS))
+    cuts = cutoffs(written(strata(held), "strata"))
     stats = stats.join(F.broadcast(cuts), "lang", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("badness") > F.col("cutoff"), F.lit(False))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", kept)

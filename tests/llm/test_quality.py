@@ -76,7 +76,8 @@ def test_every_language_has_its_stratum(spark):
     """However many languages there are, one with labels enough has its own cutoff, and all count as tests."""
     good, bad = "plain " + " ".join(f"word{i}" for i in range(60)), " ".join(f"$$$word{i}" for i in range(60))
     rows = [(i, good, f"l{i % 450:03}") for i in range(900)]
-    rows += [(10_000 + i, bad if i % 8 == 0 else good, "zz") for i in range(2000)]
+    # equal texts count once, so each has a number of its own
+    rows += [(10_000 + i, f"{bad if i % 8 == 0 else good} number{i}", "zz") for i in range(2000)]
     rows += [(20_000 + i, bad, "zz") for i in range(5)]
     # a single labelled bad one: a row of (language, quality) that comes last by count
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
@@ -95,3 +96,65 @@ def test_odd_rows(odd, odd_rows, none, labels):
     check([(i, t) for i, t, *_ in odd_rows], quality.digest(odd, labels).collect())
     assert quality.digest(none, labels).count() == 0
     assert quality.digest(odd, labels.limit(0)).count() == len(odd_rows)
+
+
+def test_copies_count_once(spark):
+    """Labelled copies of one good document are no evidence for a cutoff."""
+    good, bad = "plain " + " ".join(f"word{i}" for i in range(60)), " ".join(f"$$$word{i}" for i in range(60))
+    rows = [(i, bad if i % 8 == 0 else good, "zz") for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 8 != 0)) for i in range(2000)], "doc_id long, quality int")
+    assert all(r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect())
+
+
+def test_strata_and_levels():
+    assert quality.tested([]) == 0 and quality.tested([298]) == 0 and quality.tested([299]) == 1
+    # four strata of 436, or three of 408: the smallest one cannot, and takes nothing from the others
+    assert quality.tested([1900, 488, 475, 307]) == 3
+    # the sequence stops at the first cutoff that is not valid, whatever follows
+    good = [0, 0, 0, 0, 0, 0, 0, 900, 0, 0]
+    assert quality.valid(good, 1000, 0.05) == 2
+    assert quality.chosen([9] * 10, 2) == 3.0 and quality.chosen([9] * 10, 0) is None
+
+
+def test_kept_of_the_whole_table(spark):
+    """At a scale where cutoffs exist, ``kept`` against a brute-force version from texts and labels alone."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("driver tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+
+    def badness(text):
+        n, chars, symbols, dup, repeated = brute(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+        length = chars / max(n, 1)
+        return max(
+            symbols / max(n, 1) / 0.3, dup / max(lines, 1) / 0.5, repeated / max(n, 1) / 0.4, sum(c.isupper() for c in text) / max(chars, 1) / 0.4,
+            text.count("!") / max(n, 1) / 0.5, (length - 6.5) / 5.0, (3.5 - length) / 2.0, 0.0,
+        ), n < 50 or 100 * repeated > 50 * n
+
+    scored = {d.doc_id: (d.lang, d.text, *badness(d.text)) for d in docs}
+    seen = {(lang, labels[i], text): b for i, (lang, text, b, failed) in scored.items() if not failed and labels.get(i) in (0, 1)}
+    by = {}
+    for (lang, good, _), b in seen.items():
+        by.setdefault(lang, ([], []))[good].append(b)
+    n_good = {lang: len(x[1]) for lang, x in by.items()}
+    passed = lambda k, n, level: sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1)) <= level
+    m = max(m for m in range(len(n_good) + 1) if not m or passed(0, sorted(n_good.values())[-m], 0.05 / m))
+    cut = {}
+    for lang in sorted(n_good, key=lambda x: -n_good[x])[:m]:
+        best = None
+        for c in reversed(quality.CUTOFFS):
+            if not passed(sum(b > c for b in by[lang][1]), n_good[lang], 0.05 / m):
+                break
+            found = sum(b > c for b in by[lang][0])
+            if found and (best is None or found * (1 - quality.SLACK) > best[0]):
+                best = (found, c)
+        if best:
+            cut[lang] = best[1]
+    assert len(cut) >= 2
+    got = {r.doc_id: r.kept for r in queries.op9_quality(spark, folder).collect()}
+    want = {i: not failed and not (lang in cut and b > cut[lang]) for i, (lang, _, b, failed) in scored.items()}
+    assert got == want
