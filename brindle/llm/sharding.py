@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import text_or_empty
+from brindle.llm.common import EXPAND, text_or_empty
 
 SHARDS = 40
-#: Ranges of hash within each shard that are numbered independently of each other.
-RANGES = 256
+#: Ranges of hash within each shard that are numbered independently of each other: at least so many, and more if they would hold more rows than that.
+RANGES, RANGE_ROWS = 256, 100_000
 OVERHEAD = 16
 
 
@@ -50,26 +50,29 @@ def shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, added: f
 
     The slots come from two aggregates instead of one sort per shard: rows are
     numbered within a shard's hash range, and each range starts after the rows
-    of those before it. The table of starts has shards x RANGES rows and is
-    broadcast. Equal rows are counted before they are shuffled.
+    of those before it. The table of starts has shards x ranges rows, a row for
+    every RANGE_ROWS rows of a large table, and is broadcast. Equal rows are
+    counted before they are shuffled; what stands for more than EXPAND of them
+    goes on in parts, which fall into ranges of their own.
     """
     raw = text_or_empty("text")
+    ranges = max(RANGES, -(-docs.count() // (RANGE_ROWS * len(weights))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EXPAND).cast("long"))))
+    rows = rows.withColumn("n", F.least(F.lit(EXPAND).cast("long"), F.col("n") - F.col("first")))
     best = placed(F.col("doc_id"), weights)
-    rows = rows.withColumn("best", best).withColumn("range", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(RANGES)).cast("int"))
+    rows = rows.withColumn("best", best).withColumn("range", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "first"), F.lit(ranges)).cast("int"))
     grown = F.lit(None).cast("int")
     if added is not None:
         grown = F.when(_draw(F.col("doc_id"), F.lit(len(weights)), F.lit(float(added))) < F.col("best.draw"), F.lit(len(weights))).otherwise(F.col("best.shard"))
-    rows = rows.select("doc_id", "size", "text_crc32", "n", F.col("best.shard").alias("shard"), "range", grown.alias("grown_shard"))
+    rows = rows.select("doc_id", "size", "text_crc32", "first", "n", F.col("best.shard").alias("shard"), "range", grown.alias("grown_shard"))
 
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(raw.cast("binary")).alias("text_crc32"))
-    counted = counted.select(placed(F.col("doc_id"), weights)["shard"].alias("shard"), F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(RANGES)).cast("int").alias("range"))
-    counted = counted.groupBy("shard", "range").agg(F.count("*").alias("rows"))
+    counted = rows.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
 
-    before = Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard", "range").orderBy("doc_id", "text_crc32", "size", "first").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     rows = rows.join(F.broadcast(starts), ["shard", "range"])
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))

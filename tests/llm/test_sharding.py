@@ -63,3 +63,18 @@ def test_native(odd):
     plan = sharding.digest(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert odd.select(F.lit(1)).count()
+
+
+def test_one_row_repeated(spark, monkeypatch):
+    """A row that stands for very many is numbered in parts; ranges follow the rows."""
+    monkeypatch.setattr(sharding, "EXPAND", 100)
+    monkeypatch.setattr(sharding, "RANGES", 1)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 5)
+    rows = [(1, "same")] * 3000 + [(i, f"text {i}") for i in range(2, 1500)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1
