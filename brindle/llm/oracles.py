@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm.licenses import RULES, SENTENCES
+from brindle.llm.licenses import CUT, RULES, SENTENCES
 
 #: Words are runs of characters other than ASCII white space.
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -91,7 +91,7 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.at) AS component_id FR
 
 
 def _licenses() -> str:
-    """Sentences by two replacements, then one step for each rule."""
+    """Sentences by two replacements, those of CUT from neighbouring pieces, then one step for each rule."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in SENTENCES.items())
     normal = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
@@ -106,8 +106,17 @@ s AS (
   SELECT row, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (
     SELECT row, string_split(regexp_replace(regexp_replace(text, '([.!?:;])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(30), 'g'), '\\n[ \\t\\r]*\\n', chr(30), 'g'), chr(30)) AS x FROM d
   )
-), w AS (SELECT s.*, k.id FROM s LEFT JOIN known k ON k.sentence = {normal.format("s.s")}),
-l AS (SELECT row, i, unnest(y) AS line, generate_subscripts(y, 1) AS j FROM (SELECT row, i, string_split(s, chr(10)) AS y FROM w WHERE id IS NULL)),
+), n AS (SELECT *, {normal.format("s")} AS norm FROM s),
+p AS (SELECT *, norm || ' ' || lead(norm, 1) OVER o AS two, norm || ' ' || lead(norm, 1) OVER o || ' ' || lead(norm, 2) OVER o AS three FROM n WINDOW o AS (PARTITION BY row ORDER BY i)),
+m AS (
+  SELECT p.row, p.i, p.s, k.id, a.id AS two, b.id AS three FROM p LEFT JOIN known k ON k.sentence = p.norm
+  LEFT JOIN (SELECT * FROM known WHERE id IN ({", ".join(map(quoted, CUT))})) a ON a.sentence = p.two
+  LEFT JOIN (SELECT * FROM known WHERE id IN ({", ".join(map(quoted, CUT))})) b ON b.sentence = p.three
+), t AS (
+  SELECT *, lag(two, 1) OVER o IS NOT NULL OR lag(three, 1) OVER o IS NOT NULL OR lag(three, 2) OVER o IS NOT NULL AS inside FROM m WINDOW o AS (PARTITION BY row ORDER BY i)
+), w AS (
+  SELECT row, i, s, CASE WHEN two IS NOT NULL OR three IS NOT NULL THEN coalesce(two, three) WHEN NOT inside THEN id END AS id, two IS NULL AND three IS NULL AND (inside OR id IS NOT NULL) AS done FROM t
+), l AS (SELECT row, i, unnest(y) AS line, generate_subscripts(y, 1) AS j FROM (SELECT row, i, string_split(s, chr(10)) AS y FROM w WHERE id IS NULL AND NOT done)),
 f AS (
   SELECT row, i, 0 AS j, id FROM w WHERE id IS NOT NULL
   UNION ALL SELECT l.row, l.i, l.j, k.id FROM l JOIN known k ON k.sentence = {normal.format("l.line")}

@@ -113,3 +113,111 @@ def test_odd_rows(odd, odd_rows, none):
 def test_native(odd):
     plan = licenses.digest(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+NOTICES = {
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "MIT": """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+""",
+    "GPL-2.0-or-later": GPL.format(";", ";", 2),
+    "GPL-3.0-or-later": GPL.format(":", ",", 3),
+    "LGPL": """This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+""",
+    "MPL-2.0": MPL.format("http"),
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish it.\n",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+}
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"].replace("THIS SOFTWARE", """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""")
+
+
+def _sql_rows(rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = [d[0] for d in con.execute(queries.ORACLES["op8_licenses"]).description]
+    return {r[names.index("doc_id")]: (r[names.index("sentences")], r[names.index("licenses")]) for r in con.fetchall()}
+
+
+def test_official_notices(spark):
+    """Each notice yields its license and no other, alone and within code comments; SQL agrees."""
+    hashed = {k: "x = 1\n" + "".join(f"# {line}".rstrip() + "\n" for line in v.splitlines()) for k, v in NOTICES.items()}
+    rows = [(i, v) for i, v in enumerate([*NOTICES.values(), *[f"Intro text here.\n\n{v}\n\nAnd more text." for v in NOTICES.values()], *hashed.values()])]
+    got = {r.doc_id: r for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names, n = list(NOTICES), len(NOTICES)
+    assert {names[i]: got[i].licenses for i in range(n)} == {k: k for k in names}
+    assert {names[i]: got[n + i].licenses for i in range(n)} == {k: k for k in names}
+    sql = _sql_rows(rows)
+    assert all((got[i].sentences, got[i].licenses) == sql[i] for i, _ in rows)
+
+
+def test_every_sentence_is_reachable(spark):
+    rows = [(i, f"Before it. {text.capitalize()}.\n\nAfter it.") for i, text in enumerate(licenses.SENTENCES.values())]
+    got = {r.doc_id: r for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].sentences for i in range(len(rows))] == list(licenses.SENTENCES)
+    sql = _sql_rows(rows)
+    assert all((got[i].sentences, got[i].licenses) == sql[i] for i, _ in rows)
+    # every rule can win: its own sentences alone give its license
+    rows = [(i, ". ".join(licenses.SENTENCES[x].capitalize() for x in seq) + ".") for i, (_, seq) in enumerate(licenses.RULES)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in range(len(rows))] == [[name] for name, _ in licenses.RULES]
