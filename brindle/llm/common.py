@@ -128,6 +128,26 @@ def row_hash(*columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)
 
 
+#: A key with more rows than this, and than its part of all rows, is hot; there are never more hot keys than that.
+HOT_ROWS, HOT_KEYS = 10_000, 50_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key and in ``n`` how many rows have it.
+
+    The few hot keys are broadcast, so their rows stay where they are; the rest
+    is shuffled. ``table`` is read several times and should be a written one.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    heavy = table.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS))
+    table = table.drop(n)
+    if heavy.isEmpty():
+        return rows.join(table, keys)
+    names = heavy.select(*keys)
+    hot = rows.join(F.broadcast(heavy.drop(n)), keys)
+    return hot.unionByName(rows.join(F.broadcast(names), keys, "left_anti").join(table.join(F.broadcast(names), keys, "left_anti"), keys))
+
+
 #: Rows that one task makes of a counted row at once.
 EXPAND = 10_000
 

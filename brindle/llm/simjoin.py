@@ -19,10 +19,17 @@ shingles, the next ones empty projections only, the last nothing, so no link is
 lost. Which shingles are common is learnt from a sample; any choice is right, as
 long as it is the same for all documents.
 
-Documents that share a signature are candidates. Components of candidates are
-checked exactly, in blocks of bounded size dealt over tasks, by prefix-filtered
-comparison of whole sets; a check emits a spanning forest of the links, never
-all pairs. Documents with equal sets are merged before any of this.
+Documents that share a signature are candidates. A signature that many documents
+of the sample share is hot: each task picks a head for it and links its own
+documents with that, so only the heads of tasks meet. Components of candidates
+are checked exactly, in blocks of bounded size dealt over tasks, by
+prefix-filtered comparison of whole sets; a check emits a spanning forest of the
+links, never all pairs. A component that is larger than a block is checked in two
+rounds. First each block is compared within itself and with a few documents of
+the whole component, which connects the members of a large group of near copies.
+Then only documents outside the component's largest group meet all blocks in
+reach: those within it are connected already. Documents with equal sets are
+merged before any of this.
 """
 
 from __future__ import annotations
@@ -35,10 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_arrow, written
+from brindle.llm.common import hot_join, map_arrow, written
 from brindle.llm.components import components
 from brindle.llm.shingles import digest, mix, sets
 
@@ -49,8 +56,12 @@ SHY, SEEDS = 2, 6
 SAMPLE_DOCS, COMMON, MOST_COMMON = 8000, 3, 300_000
 #: Common shingles are told by so many bits of their hash; a few others are taken for common with them.
 COMMON_BITS = 22
+#: A signature of so many different sets among the sample is hot.
+HOT = 80
 #: Shingles of the documents that one task compares with each other.
 BLOCK = 2_000_000
+#: Documents, expected number, of each size class of a large component that meet all its blocks at first.
+HUB = 50
 #: Up to this many rows of (id, block) are broadcast to the scan of the texts, some 60 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -159,8 +170,16 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def _common(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of several different sets among a sample of the documents: the first by hash of their id."""
+def _sample(docs: DataFrame) -> DataFrame:
+    """About SAMPLE_DOCS documents, by hash of their id; the same ones of a table always."""
+    total = docs.count()
+    if total > SAMPLE_DOCS:
+        docs = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < (1 << 63) * SAMPLE_DOCS // total)
+    return written(docs, "sample")
+
+
+def _common(sample: DataFrame, words: int) -> np.ndarray:
+    """Shingles of several different sets among a sample of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,40 +187,60 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0]]), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["h", "s"])
 
-    total = docs.count()
-    if total > SAMPLE_DOCS:
-        docs = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < (1 << 63) * SAMPLE_DOCS // total)
-    found = map_arrow(docs, run, "h long, s array<long>").dropDuplicates(["h"]).select(F.explode("s").alias("s"))
+    found = map_arrow(sample, run, "h long, s array<long>").dropDuplicates(["h"]).select(F.explode("s").alias("s"))
     found = found.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON)
     return np.array([r.s for r in found.collect()], np.int64).view(np.uint64)
 
 
-def _signed(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(sig, doc_id); of equal sets within a task only the first is given signatures."""
+def _hot(sample: DataFrame, words: int, percent: int, common: np.ndarray) -> np.ndarray:
+    """Signatures of at least HOT sets of the sample: so few that the driver can hand them to all tasks."""
+    found = _signed(sample, words, percent, common, np.zeros(0, np.int64)).groupBy("sig").agg(F.approx_count_distinct("doc_id").alias("n"))
+    return np.sort(np.array([r.sig for r in found.where(F.col("n") >= HOT).collect()], np.int64))
+
+
+def _signed(docs: DataFrame, words: int, percent: int, common: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(sig, doc_id, head); of equal sets within a task only the first is given signatures.
+
+    head is null but for documents with a hot signature: there it is the first
+    such document of the task, which alone keeps the signature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
+        first: dict[int, int] = {}
         table = table_of(common)
         for b in batches:
-            sigs, ids, held = [], [], 0
+            sigs, ids, held, pairs = [], [], 0, []
             for doc_id, s in zip(b.column("doc_id").to_pylist(), sets(b.column("text"), words), strict=True):
                 if len(s) and (d := digest(s)) not in known:
                     known.add(d)
-                    if len(x := signatures(s, percent, table)):
+                    x = signatures(s, percent, table).view(np.int64)
+                    if len(hot) and len(x):
+                        is_hot = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
+                        met = {first[h] for h in x[is_hot].tolist() if h in first}
+                        pairs += [(doc_id, head) for head in met if head != doc_id]
+                        new = [h for h in x[is_hot].tolist() if h not in first]
+                        first.update((h, doc_id) for h in new)
+                        x = np.concatenate([x[~is_hot], np.array(sorted(set(new)), np.int64)])
+                    if len(x):
                         sigs.append(x)
                         ids.append(np.full(len(x), doc_id, np.int64))
                         held += len(x)
                 if held > 500_000:
-                    yield _pair(sigs, ids)
-                    sigs, ids, held = [], [], 0
-            if held:
-                yield _pair(sigs, ids)
+                    yield _rows(sigs, ids, pairs)
+                    sigs, ids, held, pairs = [], [], 0, []
+            if held or pairs:
+                yield _rows(sigs, ids, pairs)
 
-    return map_arrow(docs, run, "sig long, doc_id long")
+    return map_arrow(docs, run, "sig long, doc_id long, head long")
 
 
-def _pair(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "doc_id"])
+def _rows(sigs: list[np.ndarray], ids: list[np.ndarray], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    # pairs are dealt like signatures, by a hash of their own that meets none of them
+    own = [hash(p) for p in pairs]
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    sig, doc = pa.array(np.concatenate([cat(sigs), np.array(own, np.int64)])), pa.array(np.concatenate([cat(ids), np.array([p[0] for p in pairs], np.int64)]))
+    return pa.RecordBatch.from_arrays([sig, doc, pa.array([None] * (len(sig) - len(pairs)) + [p[1] for p in pairs], pa.int64())], ["sig", "doc_id", "head"])
 
 
 # --- exact comparison of candidates ---------------------------------------
@@ -235,7 +274,9 @@ def linked(members: list[np.ndarray], sides: list[int], percent: int) -> list[tu
     rank[np.argsort(often, kind="stable")] = np.arange(len(flat))
     ranks = np.split(rank[back], np.cumsum([len(m) for m in members])[:-1])
     shared = often[np.argsort(often, kind="stable")] > 1
-    forest, out, index = Forest(len(members)), [], {}
+    forest, out = Forest(len(members)), []
+    # for each element the earlier sets that have it, by their group at that time
+    index: dict[int, dict[int, list[int]]] = {}
     order = sorted(range(len(members)), key=lambda i: (len(members[i]), i))
     for i in order:
         n = len(members[i])
@@ -243,19 +284,24 @@ def linked(members: list[np.ndarray], sides: list[int], percent: int) -> list[tu
         first = first[shared[first]].tolist()
         tried = set()
         for token in first:
-            for j in index.get(token, ()):
-                if j in tried:
-                    continue
-                tried.add(j)
-                m = len(members[j])
-                if (two and sides[i] == sides[j]) or m * 100 < n * percent or forest.root(i) == forest.root(j):
-                    continue
-                both = len(np.intersect1d(members[i], members[j], assume_unique=True))
-                if 100 * both >= percent * (n + m - both):
-                    forest.link(i, j)
-                    out.append((i, j))
+            for group, sets_of in index.get(token, {}).items():
+                for j in sets_of:
+                    # a group that is connected by now is passed over at once
+                    if forest.root(i) == forest.root(group):
+                        break
+                    if j in tried:
+                        continue
+                    tried.add(j)
+                    m = len(members[j])
+                    if (two and sides[i] == sides[j]) or m * 100 < n * percent:
+                        continue
+                    both = len(np.intersect1d(members[i], members[j], assume_unique=True))
+                    if 100 * both >= percent * (n + m - both):
+                        forest.link(i, j)
+                        out.append((i, j))
+        group = forest.root(i)
         for token in first:
-            index.setdefault(token, []).append(i)
+            index.setdefault(token, {}).setdefault(group, []).append(i)
     return out
 
 
@@ -301,30 +347,87 @@ def _checked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def _blocks(candidates: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, key, side, class): the comparisons that each candidate (doc_id, class, n_shingles, label) takes part in.
+def _key(*parts: Column | str) -> Column:
+    return F.concat_ws("/", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
 
-    A component of at most BLOCK shingles is one group. A larger one is split
-    by size class and salt; every two blocks whose sizes are in reach meet in
-    one group, so the work is dealt over as many tasks as there are meetings.
-    """
-    weight = candidates.groupBy("label", "class").agg(F.sum("n_shingles").alias("w"))
+
+def _upto(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _neighbours(t: DataFrame, *columns: str) -> DataFrame:
+    """Adds next_ and last_ columns: those of the same label's next and last size class, 0 where there is none. A label has few classes."""
     w = Window.partitionBy("label").orderBy("class")
-    salts = F.ceil(F.col("w") / (BLOCK // 2)).cast("int")
-    weight = weight.withColumn("whole", F.sum("w").over(Window.partitionBy("label"))).withColumn("s", salts)
     for name, f, by in (("next", F.lead, 1), ("last", F.lag, -1)):
-        weight = weight.withColumn(name, F.coalesce(F.when(f("class").over(w) == F.col("class") + by, f("s").over(w)), F.lit(0)))
-    joined = candidates.join(weight, ["label", "class"])
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
-    text = lambda *x: F.concat_ws(":", *[y.cast("string") for y in x])
-    c, own = F.col("class"), F.col("salt")
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    meet = [F.transform(upto("s"), lambda b: F.struct(text(c, F.least(own, b), c, F.greatest(own, b)).alias("at"), (own > b).cast("int").alias("side")))]
-    meet.append(F.transform(upto("next"), lambda b: F.struct(text(c, own, c + 1, b).alias("at"), F.lit(0).alias("side"))))
-    meet.append(F.transform(upto("last"), lambda b: F.struct(text(c - 1, b, c, own).alias("at"), F.lit(1).alias("side"))))
-    alone = F.array(F.struct(F.lit("").alias("at"), F.lit(0).alias("side")))
-    spread = joined.withColumn("salt", salt).withColumn("meet", F.explode(F.when(F.col("whole") <= BLOCK, alone).otherwise(F.concat(*meet))))
-    return spread.select("doc_id", F.concat_ws("/", F.col("label").cast("string"), F.col("meet.at")).alias("key"), F.col("meet.side").alias("side"), "class")
+        t = t.withColumns({f"{name}_{c}": F.coalesce(F.when(f("class").over(w) == F.col("class") + by, f(c).over(w)), F.lit(0)) for c in columns})
+    return t
+
+
+def _sizes(candidates: DataFrame) -> DataFrame:
+    """label, class, w (shingles), n (documents), whole (shingles of the label), s (blocks of the class)."""
+    t = candidates.groupBy("label", "class").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("n"))
+    t = t.withColumn("whole", F.sum("w").over(Window.partitionBy("label"))).withColumn("s", F.ceil(F.col("w") / (BLOCK // 2)).cast("int"))
+    return _neighbours(t, "s")
+
+
+def _own_blocks(candidates: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, key, side, class) of the first round.
+
+    A component of at most BLOCK shingles is one group. A larger one is split
+    by size class and salt, and about HUB documents of each class join all
+    blocks of its own and the neighbouring classes.
+    """
+    joined = candidates.join(F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes, ["label", "class"])
+    c, hashed = F.col("class"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    own = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
+    at = lambda offset, n: F.transform(_upto(F.col(n)), lambda b: _key(F.col("label"), c + offset, b))
+    mine = F.array(_key(F.col("label"), c, own))
+    hub = hashed.cast("double") * F.col("n") < float(1 << 63) * HUB
+    keys = F.when(F.col("whole") <= BLOCK, F.array(_key(F.col("label")))).when(hub, F.concat(at(0, "s"), at(1, "next_s"), at(-1, "last_s"))).otherwise(mine)
+    return joined.select("doc_id", F.explode(keys).alias("key"), F.lit(0).alias("side"), "class")
+
+
+def _other_blocks(candidates: DataFrame, group: DataFrame) -> DataFrame:
+    """(doc_id, key, side, class) of the second round, for components larger than a block.
+
+    ``group`` is (node, label): what the first round connected. Documents outside
+    a component's largest group meet each other and that group, in blocks; two
+    of the largest group need not meet.
+    """
+    group = group.select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
+    c = written(candidates.join(group, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")), "grouped")
+    largest = c.groupBy("label", "group").agg(F.sum("n_shingles").alias("w")).groupBy("label").agg(F.max_by("group", F.struct("w", "group")).alias("largest"))
+    c = c.join(largest, "label").withColumn("out", F.col("group") != F.col("largest"))
+    c = written(c.drop("group", "largest"), "sides")
+    w = lambda out: F.ceil(F.sum(F.when(F.col("out") == out, F.col("n_shingles"))) / (BLOCK // 2)).cast("int")
+    t = c.groupBy("label", "class").agg(F.coalesce(w(True), F.lit(0)).alias("u"), F.coalesce(w(False), F.lit(0)).alias("m"))
+    t = _neighbours(t.join(t.groupBy("label").agg(F.sum("u").alias("some")).where("some > 0").select("label"), "label"), "u", "m")
+    j = c.join(t, ["label", "class"])
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("u")).otherwise(F.col("m"))).cast("int")
+    label, at = F.col("label"), F.col("class")
+    meet = lambda n, key, side: F.transform(_upto(F.col(n)), lambda b: F.struct(key(b).alias("key"), (side(b) if callable(side) else F.lit(side)).cast("int").alias("side")))
+    # among each other: within a class, and with the next and the last one
+    among = [
+        meet("u", lambda b: _key(label, "u", at, F.least(own, b), at, F.greatest(own, b)), lambda b: own > b),
+        meet("next_u", lambda b: _key(label, "u", at, own, at + 1, b), 0),
+        meet("last_u", lambda b: _key(label, "u", at - 1, b, at, own), 1),
+    ]
+    # with the largest group: the outer documents' class and block first
+    outer = [meet(n, lambda b, d=d: _key(label, "m", at, own, at + d, b), 0) for d, n in ((0, "m"), (1, "next_m"), (-1, "last_m"))]
+    inner = [meet(n, lambda b, d=d: _key(label, "m", at + d, b, at, own), 1) for d, n in ((0, "u"), (1, "next_u"), (-1, "last_u"))]
+    spread = j.withColumn("x", F.explode(F.when(F.col("out"), F.concat(*among, *outer)).otherwise(F.concat(*inner))))
+    return spread.select("doc_id", "x.key", "x.side", "class")
+
+
+def _links(docs: DataFrame, blocks: DataFrame, words: int, percent: int) -> DataFrame:
+    """What the comparisons within each group of ``blocks`` find."""
+    blocks = written(blocks, "blocks")
+    if blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # texts of other documents end at the scan; without this all texts are shuffled by id first
+        blocks = F.broadcast(blocks)
+    rows = docs.join(blocks, "doc_id").repartition("key").sortWithinPartitions("key")
+    return written(_checked(rows.select("key", "side", "class", "doc_id", "text"), words, percent), "links")
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -343,34 +446,38 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = written(_features(docs, words), "features")
     named = features.where("n_shingles > 0 and doc_id is not null")
-    groups = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
+    groups = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     groups = written(groups, "groups")
-    rep_of = named.select("doc_id", "h1", "h2").join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
+    rep_of = hot_join(named.select("doc_id", "h1", "h2"), groups.select("h1", "h2", "rep", "n"), ["h1", "h2"], "n").select("doc_id", "rep")
     once = rep_of.distinct()
     several = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     apart = written(once.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "apart")
 
     known = docs.where("doc_id is not null")
-    signed = _signed(known, words, percent, _common(known, words)).repartition(F.col("sig"))
+    sample = _sample(known)
+    common = _common(sample, words)
+    signed = _signed(known, words, percent, common, _hot(sample, words, percent, common)).repartition(F.col("sig"))
     run = Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = signed.select("doc_id", F.first("doc_id").over(run).alias("head")).where("doc_id <> head").distinct()
+    stars = signed.select("doc_id", F.coalesce("head", F.first("doc_id").over(run)).alias("head")).where("doc_id <> head").distinct()
     stars = written(stars, "stars")
     close = stars.join(once, "doc_id").select("head", F.col("rep").alias("a")).join(once.withColumnRenamed("doc_id", "head"), "head").select("a", F.col("rep").alias("b"))
     labels = components(close.unionAll(apart))
     size_class = F.size(F.filter(F.array(*map(F.lit, _lows(percent))), lambda low: low <= F.col("n_shingles")))
-    sizes = groups.groupBy(F.col("rep").alias("doc_id"), size_class.alias("class")).agg(F.sum("n_shingles").alias("n_shingles"))
-    candidates = written(labels.withColumnRenamed("node", "doc_id").join(sizes, "doc_id"), "candidates")
-    blocks = written(_blocks(candidates, percent), "blocks")
-    if blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        # texts of other documents end at the scan; without this all texts are shuffled by id first
-        blocks = F.broadcast(blocks)
-    rows = docs.join(blocks, "doc_id").repartition("key").sortWithinPartitions("key")
-    links = written(_checked(rows.select("key", "side", "class", "doc_id", "text"), words, percent), "links")
+    by_size = groups.groupBy(F.col("rep").alias("doc_id"), size_class.alias("class")).agg(F.sum("n_shingles").alias("n_shingles"))
+    candidates = written(labels.withColumnRenamed("node", "doc_id").join(by_size, "doc_id"), "candidates")
+    sizes = written(_sizes(candidates), "sizes")
+    links = _links(docs, _own_blocks(candidates, sizes), words, percent)
+    large = sizes.where(F.col("whole") > BLOCK).select("label").distinct()
+    if not large.isEmpty():
+        split = written(candidates.join(large, "label"), "large")
+        links = links.unionAll(_links(docs, _other_blocks(split, components(links.unionAll(apart))), words, percent))
     label = components(links.unionAll(apart)).withColumnRenamed("node", "rep")
-    named_groups = groups.join(label, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"))
-    out = features.join(named_groups, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    named_groups = written(groups.join(label, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"), "n"), "named")
+    empty = F.col("n_shingles") == 0
+    out = hot_join(named, named_groups, ["h1", "h2"], "n").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    # rows without words are their own component, rows without an id have none
+    none = features.where(empty | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionAll(none)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

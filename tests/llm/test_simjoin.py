@@ -171,3 +171,61 @@ def test_texts_of_one_id(spark, monkeypatch, block):
     wanted = brute(rows, 5, 80)
     assert {c for _, _, c in wanted} == {0, 20}
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80) == wanted
+
+
+def test_hot_signatures(spark, monkeypatch):
+    """One large group of near copies: only a task's head of a hot signature is shuffled, and no link is lost."""
+    monkeypatch.setattr(simjoin, "HOT", 5)
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.randint(0, 6)):
+            copy[r.randrange(len(copy))] = r.choice(words)
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(r.choice(words) for _ in range(120))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sample = simjoin._sample(df)
+    common = simjoin._common(sample, 4)
+    hot = simjoin._hot(sample, 4, 85, common)
+    assert len(hot)
+    signed = simjoin._signed(df, 4, 85, common, hot)
+    most = max(x.n for x in signed.where("head is null").groupBy("sig").agg(F.countDistinct("doc_id").alias("n")).collect())
+    before = max(x.n for x in simjoin._signed(df, 4, 85, common, hot[:0]).groupBy("sig").agg(F.countDistinct("doc_id").alias("n")).collect())
+    assert before > 20 and most <= max(4, simjoin.HOT)
+    assert got(df, 4, 85) == brute(rows, 4, 85)
+
+
+def test_large_group_meets_once(spark, monkeypatch):
+    """Members of a large component's largest group do not meet again in the second round."""
+    monkeypatch.setattr(simjoin, "BLOCK", 4000)
+    seen = []
+    whole = simjoin._links
+    monkeypatch.setattr(simjoin, "_links", lambda docs, blocks, *a: seen.append(blocks.groupBy("doc_id").count().agg(F.count("*"), F.max("count")).first()) or whole(docs, blocks, *a))
+    r = random.Random(22)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(len(copy))] = r.choice(words)
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, 5, 80) == brute(rows, 5, 80)
+    # nobody is left outside, so the second round has no meetings
+    assert len(seen) == 2 and seen[1][0] == 0
+
+
+def test_hubs_and_hot_keys(spark, monkeypatch):
+    from brindle.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    edges = [(5, i) for i in range(6, 200)] + [(i, 300) for i in range(200, 290)] + [(150, 250), (400, 401)]
+    out = {x.node: x.label for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {out[x] for x in range(5, 290)} == {5} and out[300] == 5 and out[401] == 400
+    rows = [(i, "same words in each of them", ) for i in range(60)] + [(100 + i, "") for i in range(20)] + [(200, "other words here and there")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute(rows, 4, 85)
