@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +23,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in local tests, is a temporary folder made and set for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and the session runs in one process, as in local tests, is a temporary
+    folder made and set for the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -35,26 +40,43 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_SCRATCH: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is ``written`` within, unless it is to be kept, is deleted at the end: no frame that is used later may rest on it."""
+    path = new_path(spark, "scratch")
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(path)
+        _delete(spark, path)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: whatever reads the result starts from files that
     outlive any executor.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = f"{_SCRATCH[-1]}/{label}-{uuid.uuid4().hex}" if _SCRATCH and not keep else new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files below a frame that ``written`` returned."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, os.path.dirname(files[0]))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()

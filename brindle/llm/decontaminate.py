@@ -254,7 +254,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         part = map_arrow(docs, run, schema)
         # of several blocks each is done before the next one is read, so that none waits in a plan
-        part = part if alone else written(part, "leaks")
+        part = part if alone else written(part, "leaks", keep=True)
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -272,7 +272,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         docs = map_arrow(docs, run, schema)
         if not alone:
-            docs = written(docs, "clean")
+            docs = written(docs, "clean", keep=True)
             if earlier is not None:
                 drop_written(earlier)
             earlier = docs

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import expanded, fresh, text_or_empty, word_count, written
+from brindle.llm.common import expanded, fresh, scratch, text_or_empty, word_count, written
 
 WEIGHTS = (5, 2, 1)
 #: Words wanted, as a share of all words, and the most copies of a source.
@@ -175,8 +175,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     without words take none; an empty table gives an empty result; very long
     texts are counted whole; other columns are ignored.
     """
-    sizes = written(sizes_of(docs), "sizes")
-    chosen = written(plan(sizes), "mix")
+    sizes = written(sizes_of(docs), "sizes", keep=True)
+    with scratch(docs.sparkSession):
+        chosen = written(plan(sizes), "mix", keep=True)
     out = _with_plan(sizes, chosen).withColumn("copies", copies(F.col("doc_id"), F.col("size")))
     names = ["doc_id", "size", "source_size", "target"]
     whole = out.where("copies is not null").select(*names, (F.col("copies") * F.col("size")).alias("taken"))
@@ -193,7 +194,8 @@ def mix(docs: DataFrame) -> DataFrame:
     twice, one that is not taken is left out. Among rows equal in source, id and
     size the hash of their other columns decides.
     """
-    chosen = written(plan(written(sizes_of(docs), "sizes")), "mix")
+    with scratch(docs.sparkSession):
+        chosen = written(plan(written(sizes_of(docs), "sizes")), "mix", keep=True)
     columns = docs.columns
     held, size, copy, key, n, at = fresh(docs, "held", "size_", "copy", "key_", "n_", "at_")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(held), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(text_or_empty("text")).alias(size))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_arrow, written
+from brindle.llm.common import map_arrow, scratch, written
 
 RISK, LEVEL = 0.01, 0.05
 CUTOFFS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
@@ -187,10 +187,11 @@ def cutoffs(table: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base_failed and kept: one row per row of ``docs``."""
-    stats = written(measured(docs).withColumn("badness", badness()), "quality")
+    stats = written(measured(docs).withColumn("badness", badness()), "quality", keep=True)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = stats.where(~base_failed()).join(known, "doc_id")
-    cuts = cutoffs(written(strata(held), "strata"))
+    with scratch(docs.sparkSession):
+        cuts = cutoffs(written(strata(held), "strata"))
     stats = stats.join(F.broadcast(cuts), "lang", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("badness") > F.col("cutoff"), F.lit(False))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", kept)

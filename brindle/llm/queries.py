@@ -1,4 +1,8 @@
-"""Queries of the training-data operators, and their SQL where SQL can tell them."""
+"""Queries of the training-data operators over whole tables, and their SQL where SQL can tell them.
+
+The operators state what nulls, empty and long texts, ties, repeated rows, empty
+tables and clashing columns give.
+"""
 
 from __future__ import annotations
 
@@ -6,49 +10,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from brindle.llm import decontaminate, licenses, mixing, pii, quality, secrets, sharding, simjoin, toxicity, warc
 from brindle.llm.common import read
 from brindle.llm.oracles import ORACLES
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as the archives have it, with its place in the capture histories."""
     return warc.digest(read(spark, sf_dir, "pages"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a benchmark item in a document: doc_id, item_id, start, end, edits."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets of every document."""
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: four words, 85 per cent."""
     return simjoin.similar(read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by the law `key`."""
     return sharding.digest(read(spark, sf_dir, "documents"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License sentences and licenses of every document."""
     return licenses.digest(read(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules and the verdict."""
     return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data of every document."""
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
@@ -59,6 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_mixing, op7_sharding, op8_licenses, op9_quality, op10_pii,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
-
 __all__ = ["ORACLES", "QUERIES"]

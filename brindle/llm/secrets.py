@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import least_hashes, row_hash, text_or_empty, written
+from brindle.llm.common import least_hashes, row_hash, scratch, text_or_empty, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -230,7 +230,8 @@ def _smoothed(counts: list[float], strength: float = 20.0) -> list[float]:
 def find(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, and arrays of spans: assign, access, hex, added."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    model = train(labelled if labelled is not None else written(samples(docs), "samples"))
+    with scratch(docs.sparkSession):
+        model = train(labelled if labelled is not None else written(samples(docs), "samples"))
     text = F.col("text")
     assign, access, hexes = base(text)
     out = docs.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), spans(text, "random", TOKEN, model.random).alias("added"))

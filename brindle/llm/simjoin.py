@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hot_join, map_arrow, written
+from brindle.llm.common import hot_join, map_arrow, scratch, written
 from brindle.llm.components import components
 from brindle.llm.shingles import digest, mix, sets
 
@@ -430,22 +430,8 @@ def _links(docs: DataFrame, blocks: DataFrame, words: int, percent: int) -> Data
     return written(_checked(rows.select("key", "side", "class", "doc_id", "text"), words, percent), "links")
 
 
-def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
-
-    Two documents link when 100 * intersection >= percent * union of their sets
-    of ``words``-word shingles. component_id is the least doc_id reachable.
-
-    Defined results: null and empty texts, and texts without words, have no
-    shingles and link with nothing; rows that repeat a doc_id are one document
-    with several texts; a row with a null doc_id cannot be named, so it links
-    with nothing and its component_id is null; an empty table gives an empty
-    result; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = written(_features(docs, words), "features")
-    named = features.where("n_shingles > 0 and doc_id is not null")
+def _components(docs: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
+    """(h1, h2, component, n): the component of each set among ``named``, and how many rows have the set."""
     groups = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     groups = written(groups, "groups")
     rep_of = hot_join(named.select("doc_id", "h1", "h2"), groups.select("h1", "h2", "rep", "n"), ["h1", "h2"], "n").select("doc_id", "rep")
@@ -472,7 +458,26 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         split = written(candidates.join(large, "label"), "large")
         links = links.unionAll(_links(docs, _other_blocks(split, components(links.unionAll(apart))), words, percent))
     label = components(links.unionAll(apart)).withColumnRenamed("node", "rep")
-    named_groups = written(groups.join(label, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"), "n"), "named")
+    return groups.join(label, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component"), "n")
+
+
+def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
+
+    Two documents link when 100 * intersection >= percent * union of their sets
+    of ``words``-word shingles. component_id is the least doc_id reachable.
+
+    Defined results: null and empty texts, and texts without words, have no
+    shingles and link with nothing; rows that repeat a doc_id are one document
+    with several texts; a row with a null doc_id cannot be named, so it links
+    with nothing and its component_id is null; an empty table gives an empty
+    result; other columns are ignored.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    features = written(_features(docs, words), "features", keep=True)
+    named = features.where("n_shingles > 0 and doc_id is not null")
+    with scratch(docs.sparkSession):
+        named_groups = written(_components(docs, named, words, percent), "named", keep=True)
     empty = F.col("n_shingles") == 0
     out = hot_join(named, named_groups, ["h1", "h2"], "n").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     # rows without words are their own component, rows without an id have none

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_arrow, new_path, written
+from brindle.llm.common import map_arrow, new_path, scratch, written
 
 #: Smaller payloads are always stored.
 LEAST_SHARED = 100
@@ -288,7 +288,7 @@ def merged(runs: DataFrame) -> DataFrame:
 
     ranged = runs.repartitionByRange(parts, "url_key", "captured", "page_id", "run", "pos")
     ranged = ranged.sortWithinPartitions("block_url_key", "block_captured", "block_page_id", "run", "pos")
-    out = written(map_arrow(ranged, run, "part int, at long, " + INDEX), "histories")
+    out = written(map_arrow(ranged, run, "part int, at long, " + INDEX), "histories", keep=True)
     # a row for each range
     counts = out.groupBy("part").agg(F.count("*").alias("rows"))
     start = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -300,6 +300,7 @@ def digest(pages: DataFrame) -> DataFrame:
     """Archives written and read back, and their merged index."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write(pages, path)
-    runs = written(read_runs(spark, path), "runs")
-    return merged(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+    with scratch(spark):
+        write(pages, path)
+        histories = merged(written(read_runs(spark, path), "runs"))
+    return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")

@@ -59,9 +59,39 @@ def test_run(spark, sf):
     assert rows and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_odd_rows(spark, odd, sf, tmp_path):
-    docs = odd
+def _through(stage, docs, sf, path):
+    stage(docs.sparkSession, docs, sf).write.parquet(str(path))
+    return docs.sparkSession.read.parquet(str(path))
+
+
+def test_odd_rows(odd, odd_rows, sf, tmp_path):
+    """What each stage makes of nulls, empty and long texts, repeated rows and clashing columns."""
+    at = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id is not None, r.doc_id or 0) for r in df.select("doc_id").collect())
+    every = ids(odd)
+    clean = _through(at["toxicity"], odd, sf, tmp_path / "1")
+    assert clean.columns == odd.columns and ids(clean) == every
+    apart = _through(at["near_copies"], clean, sf, tmp_path / "2")
+    assert apart.columns == odd.columns
+    assert ids(apart) == [(False, 0)] * 2 + [(True, i) for i in (1, 3, 4, 5, 6, 8, 10, 11, 12, 13, 14)]
+    free = _through(at["decontamination"], apart, sf, tmp_path / "3")
+    assert free.columns == odd.columns and ids(free) == ids(apart)
+    mix = _through(at["mixing"], odd, sf, tmp_path / "4")
+    assert mix.columns == odd.columns
+    # without words nothing is taken, and nothing more than twice
+    n = {}
+    for r in mix.collect():
+        n[(r.doc_id, r.text, r.source)] = n.get((r.doc_id, r.text, r.source), 0) + 1
+    rows = {}
+    for i, text, _, source in odd_rows:
+        rows[(i, text, source)] = rows.get((i, text, source), 0) + 1
+    assert all(k in rows and k[1] and k[1].split() and v <= 2 * rows[k] for k, v in n.items())
+    placed = _through(at["sharding"], odd, sf, tmp_path / "5")
+    assert ids(placed) == every and placed.where("size = 16").count() == sum(not r[1] for r in odd_rows)
+
+
+def test_empty_table(none, sf, tmp_path):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-    assert docs.count() > 0
+        out = _through(stage, none, sf, tmp_path / str(k))
+        assert out.count() == 0
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == none.columns

@@ -60,3 +60,46 @@ def test_training_reads_whole_texts(spark):
     bad = [model.score(prose(3000) + " " + " ".join(r.sample(rude, 5))) for _ in range(20)]
     good = [model.score(prose(3005)) for _ in range(20)]
     assert min(bad) >= toxicity.REJECT_AT > max(good)
+
+
+def test_scores_come_from_compressed_lengths(spark, sf):
+    """Against a plain version: every window of every document compressed with either dictionary, without what the operator remembers."""
+    import math
+
+    import numpy as np
+    import zstandard as zstd
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.toxic != model.ordinary
+
+    def length(content, window):
+        params = zstd.ZstdCompressionParameters(
+            format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=15, chain_log=16, search_log=8,
+            target_length=64, write_checksum=0, write_content_size=0, write_dict_id=0,
+        )
+        return len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params).compress(window))
+
+    saved = {}
+
+    def best(word):
+        if word not in saved:
+            parts = [word] if len(word) <= 48 else [word[i : i + 48] for i in range(0, len(word) - 24, 24)]
+            found = []
+            for part in parts:
+                raw = part.encode()
+                window = toxicity.HEAD + b" " + raw + b" " + toxicity.TAIL
+                n = length(model.ordinary, window) - length(model.toxic, window)
+                found.append((n, n / (len(raw) + 2)))
+            saved[word] = max(found)
+        return saved[word]
+
+    def score(text):
+        found = [best(w) for w in sorted(set(toxicity.words(text)))]
+        top = sorted([n * share for n, share in found if n >= 3 and share > 0], reverse=True)[:3]
+        x = [*top, *[0.0] * (3 - len(top)), *[math.log1p(sum(n >= 4 and share >= least for n, share in found)) for least in (0.35, 0.5)], math.log1p(len(found))]
+        return 1 / (1 + math.exp(-float(np.append((np.array(x) - model.centre) / model.scale, 1.0) @ model.weights)))
+
+    some = {r.doc_id: r.text for r in docs.where("doc_id % 4 = 0 and length(text) < 3000").collect()}
+    rows = [r for r in queries.op1_toxicity(spark, sf).collect() if r.doc_id in some]
+    assert rows and all(abs(r.score - score(some[r.doc_id])) < 1e-6 for r in rows)
