@@ -158,7 +158,8 @@ def copies(doc_id: Column, size: Column) -> Column:
     more = F.when(~drawn, F.lit(0)).when(place != F.col("bin2"), (place < F.col("bin2")).cast("int"))
     more = more.when(F.col("last").isNull() | (key > F.col("last")), F.lit(0))
     more = more.when((key < F.col("last")) | (F.col("last_k") == F.col("last_n")), F.lit(1))
-    return F.col("whole") + more
+    # without words there is nothing to take
+    return F.when(size == 0, F.lit(0).cast("long")).otherwise(F.col("whole") + more)
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
