@@ -199,12 +199,23 @@ def mix(docs: DataFrame) -> DataFrame:
         chosen = written(plan(written(sizes_of(docs), "sizes")), "mix", keep=True)
     columns = docs.columns
     held, size, copy, key, n, at = fresh(docs, "held", "size_", "copy", "key_", "n_", "at_")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(held), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(text_or_empty("text")).alias(size))
-    rows = _with_plan(rows, chosen).withColumn(copy, copies(F.col("doc_id"), F.col(size)))
-    whole = rows.where(F.col(copy) > 0).select(held, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy).cast("long"))).alias(copy)).select(held)
-    # rows of groups that are taken in part, equal ones counted; a source has at most one such group
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(held), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    split = chosen.where("last_k < last_n")
+
+    def counted(rows: DataFrame, t: DataFrame) -> DataFrame:
+        sized = rows.withColumn(size, word_count(text_or_empty("text"))).drop("text")
+        return _with_plan(sized, t).withColumn(copy, copies(F.col("doc_id"), F.col(size)))
+
+    whole = counted(rows, chosen).where(F.col(copy) > 0).select(held, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy).cast("long"))).alias(copy)).select(held)
+    if split.isEmpty():
+        return whole.select(*[F.col(f"{held}.`{c}`").alias(c) for c in columns])
+    # rows of groups that are taken in part, equal ones counted; a source has at most one such group, so few ids are read again
+    ids = split.select(F.nullif(F.col("last.id"), F.lit(-1 << 63)).alias(key)).distinct()
+    some = ids.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    again = rows.join(F.broadcast(ids) if some else ids, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    part = counted(again, split).where(F.col(copy).isNull())
     json = F.to_json(held)
-    part = rows.where(F.col(copy).isNull()).groupBy("source", F.xxhash64(json).alias(key), F.sha2(json.cast("binary"), 256).alias(at))
+    part = part.groupBy("source", F.xxhash64(json).alias(key), F.sha2(json.cast("binary"), 256).alias(at))
     part = part.agg(F.first(held).alias(held), F.count("*").alias(n), F.first("whole").alias("whole"), F.first("last_k").alias("last_k"))
     ahead = Window.partitionBy("source").orderBy(key, at).rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("more", F.greatest(F.lit(0), F.least(F.col(n), F.col("last_k") - F.coalesce(F.sum(n).over(ahead), F.lit(0)))))
