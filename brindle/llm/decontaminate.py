@@ -155,8 +155,11 @@ class Items:
             again = (diagonal - band * (e + 1) < e) & (e > 0)
             key = item * span + band - lowest
             found, count = np.unique(np.concatenate([key, key[again] - 1]), return_counts=True)
-            every, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate([counts, count]), minlength=len(every)).astype(np.int64)
+            if len(keys):
+                every, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                total = np.bincount(back, weights=np.concatenate([counts, count]), minlength=len(every)).astype(np.int64)
+            else:
+                every, total = found, count
             k = every // span
             passed = first_of(every) + 2 * self.edit[k] + self.length[k] <= at[-1]
             close(every[passed], total[passed])
