@@ -111,6 +111,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Tables of at most so many bytes, by Catalyst's estimate, may be dealt out anew.
+DEAL_BYTES = 1 << 30
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows, over all cores if rows come in fewer than half as many tasks as there are cores.
+
+    A scan splits files between row groups only, so a small table may come in
+    one task. Which tasks have rows is told by the files' footers; tables that
+    are not small are left as they are.
+    """
+    spark = df.sparkSession
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > DEAL_BYTES:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    busy = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df.repartition(cores) if 2 * busy <= cores else df
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of the frame's."""
     taken = {c.lower() for c in df.columns}

@@ -11,13 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontaminate, licenses, mixing, pii, quality, secrets, sharding, simjoin, toxicity, warc
-from brindle.llm.common import read
+from brindle.llm.common import dealt, read
 from brindle.llm.oracles import ORACLES
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(read(spark, sf_dir, "documents"))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.scored(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,42 +31,42 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a benchmark item in a document: doc_id, item_id, start, end, edits."""
-    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets of every document."""
-    return secrets.digest(read(spark, sf_dir, "documents"))
+    return secrets.digest(_documents(spark, sf_dir))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: four words, 85 per cent."""
-    return simjoin.similar(read(spark, sf_dir, "documents"), words=4, percent=85)
+    return simjoin.similar(_documents(spark, sf_dir), words=4, percent=85)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    return mixing.mixed(read(spark, sf_dir, "documents"))
+    return mixing.mixed(_documents(spark, sf_dir))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by the law `key`."""
-    return sharding.digest(read(spark, sf_dir, "documents"))
+    return sharding.digest(_documents(spark, sf_dir))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License sentences and licenses of every document."""
-    return licenses.digest(read(spark, sf_dir, "documents"))
+    return licenses.digest(_documents(spark, sf_dir))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, the base rules and the verdict."""
-    return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.digest(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data of every document."""
-    return pii.digest(read(spark, sf_dir, "documents"))
+    return pii.digest(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
