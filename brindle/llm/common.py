@@ -87,26 +87,36 @@ BATCH_ROWS, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``df.mapInArrow``, after this package has been sent to the executors once.
 
-    Spark's file server hands the archive out, so executors need no copy of the
-    repository and no folder shared with the driver. The session's Arrow batches
-    are set to BATCH_ROWS if they are larger or unbounded.
+    The session's Arrow batches are set to BATCH_ROWS if they are larger or
+    unbounded.
     """
-    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    conf = df.sparkSession.conf
     if not 0 < int(conf.get(_ROWS, "10000")) <= BATCH_ROWS:
         conf.set(_ROWS, str(BATCH_ROWS))
-    if context.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="brindle-package-")  # the driver's own; it serves the file from here
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        archive = f"{folder}/{package.name}-{uuid.uuid4().hex[:8]}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for source in sorted(package.rglob("*.py")):
-                z.write(source, source.relative_to(package.parent))
-        context.addPyFile(archive)
-        _SHIPPED.add(context.applicationId)
+    shipped(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for an application.
+
+    Spark's file server hands the archive out, so executors need no copy of the
+    repository and no folder shared with the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="brindle-package-")  # the driver's own; it serves the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{package.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontaminate, licenses, mixing, pii, quality, secrets, sharding, simjoin, toxicity, warc
+from brindle.llm import changes, decontaminate, licenses, mixing, pii, quality, secrets, sharding, simjoin, toxicity, warc
 from brindle.llm.common import dealt, read
 from brindle.llm.oracles import ORACLES
 
@@ -69,11 +69,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_documents(spark, sf_dir))
 
 
+def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change that takes part: applied or rejected, in which batch, and the client's values afterwards."""
+    return changes.digest(read(spark, sf_dir, "client_changes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_warc, op3_decontamination, op4_secrets, op5_ngram_jaccard,
         op6_mixing, op7_sharding, op8_licenses, op9_quality, op10_pii,
+        op13_changes,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
