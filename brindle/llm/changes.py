@@ -41,6 +41,13 @@ CLIENTS, KEYS = 256, 64
 DAY_MS = 86_400_000
 #: Days are moved by so many, as the first watermark is 0 and timers before it would fire at once. The last row comes at END.
 SHIFT, END = 1_000_000, 4_000_000
+#: State stores that can hold timers; those of earlier starts are let go soon, and take no disk before they have data.
+STORES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
+}
 OUTPUT = "change_id long, client_id long, status string, batch int, missed long, city string, balance double, current boolean"
 _CLIENT = "client_id long, next long, city string, balance double, change_id long, batch int, missed long, op string"
 _HELD = "client_id long, n long, change_id long, day long, op string, city string, balance double"
@@ -248,7 +255,7 @@ def applied(changes: DataFrame, cut: Cut = Cut()) -> DataFrame:
 
 def _feed(spark: SparkSession, folder: str, out: str, number: int, schema: StructType, cut: Cut) -> None:
     """Starts the query anew, on its checkpoint, for all batches up to a number; it knows which it has seen."""
-    own = _session(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+    own = _session(spark, STORES)
     path = own.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/part={number}")
     path.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)  # a batch may be empty
     rows = own.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in/part={{{','.join(str(i) for i in range(1, number + 1))}}}")
