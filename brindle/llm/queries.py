@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import changes, decontaminate, licenses, mixing, pii, quality, runs, secrets, sharding, simjoin, toxicity, warc
+from brindle.llm import changes, decontaminate, licenses, mixing, packing, pii, quality, runs, secrets, sharding, simjoin, toxicity, warc
 from brindle.llm.common import dealt, read
 from brindle.llm.oracles import ORACLES
 
@@ -69,6 +69,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 4096 tokens."""
+    return packing.digest(_documents(spark, sf_dir))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, the longest of them, and checksums of all and of the text without repetitions."""
     return runs.digest(_documents(spark, sf_dir))
@@ -84,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_warc, op3_decontamination, op4_secrets, op5_ngram_jaccard,
         op6_mixing, op7_sharding, op8_licenses, op9_quality, op10_pii,
-        op12_runs, op13_changes,
+        op11_packing, op12_runs, op13_changes,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
