@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from brindle.functions import numbers, text
 from brindle.operators import browse, cart, filters, pricing, review
 from brindle.operators.filters import FacetSpec
-from brindle.plans import storefront
+from brindle.plans import history, storefront
 from brindle.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,8 +491,8 @@ def edit_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **storefront.QUERIES}
+    return {**_QUERIES, **storefront.QUERIES, **history.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**_ORACLES, **storefront.ORACLES}
+    return {**_ORACLES, **storefront.ORACLES, **history.ORACLES}
