@@ -1,56 +1,40 @@
-"""The last-value register as a stateful stream.
+"""The last-value register as a stream of ordered events.
 
 A write replaces the held value; a read returns it, if it is not older than the
 time to live by event time, and clears it either way. A value that no read
 fetches is let go when the watermark has passed its time to live, so the state
 holds no owner for longer. The batch form is
-``brindle.operators.review.register_reads``.
+``brindle.operators.review.register_reads``; the stream gives the same for any
+order of arrival within the lateness.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+import sys
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 
 from brindle.operators.review import TTL_MS
+from brindle.streaming.ordered import Rules, ordered
 
-OUTPUT = "owner string, seq long, got string"
-STATE = "value string, at long"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+EVENT = "ms long, seq long, is_write boolean, value string"
+
+
+def _rules(ttl: int) -> Rules:
+    def apply(held: tuple | None, event: Row) -> tuple[tuple | None, list[tuple]]:
+        if event.is_write:
+            return (event.value, event.ms), []
+        fresh = held is not None and event.ms - held[1] <= ttl
+        return None, [(event.seq, held[0] if fresh else None)]
+
+    return Rules("value string, at long", "seq long, got string", apply, kept_until=lambda held: held[1] + ttl)
 
 
 def reads(log: DataFrame, ttl: int = TTL_MS, late: str = "10 seconds") -> DataFrame:
-    """What each read returns, for a stream of (owner, seq, ms, is_write, value).
+    """owner, seq, got: what each read returns, for a stream of (owner, seq, ms, is_write, value).
 
-    Events of an owner are taken in order of (ms, seq) within a micro-batch;
-    those later than ``late`` behind the newest are left out.
+    Those later than ``late`` behind the newest are left out.
     """
-
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else None
-        events = pd.concat(list(batches)).sort_values(["ms", "seq"])
-        # a read returns what the event before it wrote, or at the start what is held
-        before, then = events["value"].where(events["is_write"]).shift(), events["ms"].where(events["is_write"]).shift()
-        if held is not None and len(events):
-            before.iloc[0], then.iloc[0] = held
-        fresh = events["ms"] - then.astype("float64") <= ttl
-        got = before.where(fresh, None)
-        asked = ~events["is_write"].astype(bool)
-        last = events.iloc[-1]
-        if last["is_write"]:
-            state.update((last["value"], int(last["ms"])))
-            state.setTimeoutTimestamp(max(int(last["ms"]) + ttl + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"owner": key[0], "seq": events["seq"][asked], "got": got[asked].astype(object)})
-
-    # rows at the watermark count as late, and it starts at 0: a millisecond more keeps those of time 0
-    timed = log.withColumn("_at", F.timestamp_millis(F.col("ms") + 1)).withWatermark("_at", late)
-    return timed.groupBy("owner").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return ordered(log, _rules(ttl), EVENT, late)
