@@ -13,12 +13,15 @@ sequences; the pieces look it up in their tasks.
 
 from __future__ import annotations
 
+import functools
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a length that are numbered together, on average.
 RANGE_ROWS = 100_000
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Words, about, whose ids a worker remembers.
+REMEMBERED = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -102,30 +105,63 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
+#: Words of these characters alone have no white space and no marks to be put together, and letters here have one lower case each.
+PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u017f]+")
+#: Fixed value: how the tokenizer cuts its text.
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it shows, or else the next from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], bytes]:
     """Ids of a text as little-endian 32-bit numbers.
 
     Every pattern of the tokenizer ends at white space and its normalizers work
     within words, so the ids of a text are those of its words (split at ASCII
-    white space), which are remembered.
+    white space), which are remembered, by all tasks of a worker. Plain words
+    are cut here and their parts go to the tokenizer's model, others go through
+    the whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings within a text are text
-    known: dict[bytes, bytes] = {}
+    model, letter = tokenizer.model, byte_letters()
+    words: dict[bytes, bytes] = {}
+    parts: dict[str, bytes] = {}
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+
+    def of_part(part: str) -> bytes:
+        out = parts.get(part)
+        if out is None:
+            spelled = part if part.isascii() else "".join([letter[b] for b in part.encode()])
+            out = parts[part] = packed([t.id for t in model.tokenize(spelled)])
+        return out
+
+    def of_word(word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN.fullmatch(text):
+            return b"".join([of_part(p) for p in CUT.findall(text.lower())])
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        out = []
+        if len(words) > REMEMBERED:
+            words.clear()
+            parts.clear()
+        for w in text.encode("utf-8", "replace").split():
+            known = words.get(w)
+            if known is None:
+                known = words[w] = of_word(w)
+            out.append(known)
+        return b"".join(out)
 
     return ids
 
