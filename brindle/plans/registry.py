@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from brindle.functions import numbers, text
 from brindle.operators import browse, cart, filters, pricing, review
 from brindle.operators.filters import FacetSpec
-from brindle.plans import history, storefront, streams
+from brindle.plans import browsing, history, storefront, streams
 from brindle.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -441,12 +441,6 @@ def report_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- shown but not wired up ------------------------------------------------
 
 
-@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey")
-def sort_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G01."""
-    return browse.ordered(_read(spark, sf_dir, "part"), "price", "p_partkey", price="p_retailprice").select("p_partkey", "p_retailprice")
-
-
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're')")
 def search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G02."""
@@ -481,18 +475,9 @@ def parsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", price["low"].alias("low"), price["high"].alias("high"), lead["least"].alias("least_weeks"), lead["most"].alias("most_weeks"))
 
 
-@query("""
-SELECT l.doc_id, coalesce(d.n_chars, l.quality) AS quality FROM labels l LEFT JOIN (SELECT doc_id, n_chars FROM documents WHERE lang = 'fr') d USING (doc_id)""")
-def edit_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G05."""
-    rows = _read(spark, sf_dir, "labels").withColumn("quality", F.col("quality").cast("bigint"))
-    edits = _read(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.col("n_chars").alias("quality"))
-    return browse.edited(rows, edits, "doc_id", ["quality"]).select("doc_id", "quality")
-
-
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **storefront.QUERIES, **history.QUERIES, **streams.QUERIES}
+    return {**_QUERIES, **storefront.QUERIES, **history.QUERIES, **streams.QUERIES, **browsing.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**_ORACLES, **storefront.ORACLES, **history.ORACLES, **streams.ORACLES}
+    return {**_ORACLES, **storefront.ORACLES, **history.ORACLES, **streams.ORACLES, **browsing.ORACLES}

@@ -24,10 +24,14 @@ def load_lists(saved: DataFrame, owner: str) -> DataFrame:
     return rows.select(owner, "position", "item.*")
 
 
+def complete(forms: DataFrame) -> DataFrame:
+    """Forms without problems, of a table or a stream; ``ledger.write_stream`` stores those of a stream once."""
+    return form_problems(forms, REQUIRED, "email").where(F.size("problems") == 0).drop("problems")
+
+
 def append_forms(forms: DataFrame, path: str) -> None:
     """Appends complete forms; the storefront itself collects them and lets them go."""
-    good = form_problems(forms, REQUIRED, "email").where(F.size("problems") == 0)
-    good.select(*FORM).write.mode("append").parquet(path)
+    complete(forms).select(*FORM).write.mode("append").parquet(path)
 
 
 def append_reports(reports: DataFrame, path: str) -> None:

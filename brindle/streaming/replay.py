@@ -9,9 +9,6 @@ runs one without data if the watermark has moved. Everything lies below
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,6 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import new_folder
+
 #: Settings of the session in which queries run: state in RocksDB, which timers need, without disk taken in advance.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,17 +28,6 @@ SETTINGS = {
 }
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a session in one process may do without that setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 def own_session(spark: SparkSession) -> SparkSession:
     """A session with the caller's settings and those of SETTINGS, which the caller's does not keep."""
     own = spark.newSession()
