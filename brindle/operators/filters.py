@@ -122,6 +122,11 @@ def server_error(status: Column, content_type: Column, body: Column, markers: Se
     return reduce(lambda a, b: a & b, [status >= 500, F.contains(content_type, F.lit("application/json")), *[F.contains(body, F.lit(m)) for m in markers]])
 
 
+def response(status: Column, raised: Column) -> Column:
+    """F07. What a request gives: its own status; if something was raised, that error's status, or 500 for one without."""
+    return F.when(raised.isNull(), F.coalesce(status, F.lit(200))).otherwise(F.coalesce(raised["status"], F.lit(500)))
+
+
 def shown_series(kind: Column) -> Column:
     return ~F.coalesce(kind == "none", F.lit(False))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from brindle.functions import numbers, text
 from brindle.operators import browse, cart, filters, pricing, review
 from brindle.operators.filters import FacetSpec
-from brindle.plans import browsing, history, storefront, streams
+from brindle.plans import browsing, catalogue, history, storefront, streams
 from brindle.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -476,8 +476,8 @@ def parsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **storefront.QUERIES, **history.QUERIES, **streams.QUERIES, **browsing.QUERIES}
+    return {**_QUERIES, **storefront.QUERIES, **history.QUERIES, **streams.QUERIES, **browsing.QUERIES, **catalogue.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**_ORACLES, **storefront.ORACLES, **history.ORACLES, **streams.ORACLES, **browsing.ORACLES}
+    return {**_ORACLES, **storefront.ORACLES, **history.ORACLES, **streams.ORACLES, **browsing.ORACLES, **catalogue.ORACLES}

@@ -1,6 +1,6 @@
-"""Queries over the storefront's own literal tables, and SQL with the rows that its pages show.
+"""What the storefront's own literal tables show, for tests, and queries of its rules over given tables.
 
-The SQL states expected rows as values, so it does not depend on the tables or
+The SQL of the former states expected rows as values, so it does not depend on the tables or
 functions it is compared with. The letter and number are those of the inventory.
 """
 
@@ -30,6 +30,18 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
+#: What reads no table but the storefront's own literal ones: tests compare it with the rows its pages show.
+SHOWN: dict[str, tuple[Query, str]] = {}
+
+
+def shown(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        SHOWN[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet")
 
@@ -37,7 +49,7 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources ---------------------------------------------------------------
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES
   (0, 'p1', 'Porcelain', 'China', '🇨🇳', '600×1200', 'Matt', 58.0::DOUBLE, 72.0::DOUBLE, '6–8 weeks', 200, true, 'guangdong-elite-ceramics', 4),
   (1, 'p2', 'Marble', 'Italy', '🇮🇹', '800×800', 'Glossy', 180.0, 240.0, '8–12 weeks', 100, true, 'verona-stone-works', 4),
@@ -52,7 +64,7 @@ def scan_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.products(spark).select(*kept, F.size("gallery").alias("pictures")).orderBy("ord")
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES (0, 'tiles-flooring', 'Tiles & Flooring', 432), (1, 'sanitaryware', 'Sanitaryware & Fittings', 180), (2, 'surface-finishes', 'Surface Finishes', 95),
   (3, 'machinery', 'Industrial Machinery', 310), (4, 'structural', 'Structural Materials', 140), (5, 'lighting', 'Lighting & Fixtures', 88)) t(ord, slug, name, count)""")
 def scan_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +72,14 @@ def scan_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.categories(spark)
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('f1', 'Guangdong', '6–8 weeks'), ('f2', 'Wenzhou', '5–7 weeks'), ('f3', 'Jinan', '10–12 weeks')) t(id, origin, lead)""")
 def scan_featured_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A03, B10."""
     return filters.facets(fixtures.featured(spark), FacetSpec({"tag": ["trending"]})).select("id", "origin", "lead")
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES (1, '₹48–68', true), (2, '₹52–72', true), (3, '₹62–84', true), (4, '₹55–75', true), (5, '₹45–62', true), (6, '₹120–165', false),
   (7, '₹28–38', true), (8, '₹58–78', true), (9, '₹32–44', true), (10, '₹220–310', false), (11, '₹95–130', true), (12, '₹85–112', true)) t(id, price, ready)""")
 def scan_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +87,7 @@ def scan_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.extracted(spark).select("id", "price", "ready")
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES (1, 'Tiles & Flooring', 'Guangdong Elite', 'Published'), (2, 'Sanitaryware', 'Wenzhou Brass Works', 'Published'), (3, 'Machinery', 'Jinan Precision', 'Published'),
   (4, 'Tiles & Flooring', 'Foshan Tile Co.', 'Draft'), (5, 'Lighting', 'Shenzhen Lumens', 'Published'), (6, 'Structural', 'Tianjin Steel', 'Needs Review')) t(id, cat, sup, status)""")
 def scan_admin_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +95,7 @@ def scan_admin_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.admin_catalogue(spark).select("id", "cat", "sup", "status")
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('CRF-2026-04821', 'Rohan Patel', 'Architect', 'New'), ('CRF-2026-04820', 'Ananya Rao', 'Interior Designer', 'In Progress'), ('CRF-2026-04819', 'Vikram Shah', 'Developer', 'Quoted'),
   ('CRF-2026-04818', 'Karthik N.', 'Machinery Buyer', 'Quoted'), ('CRF-2026-04817', 'Priya M.', 'Architect', 'Closed')) t(ref, name, role, status)""")
 def scan_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +103,7 @@ def scan_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.tickets(spark).select("ref", "name", "role", "status")
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('machinery', 1, 'Upload Machine Spec or RFQ', 'Engineer review within 4 hours'), ('machinery', 2, 'Factory Matches Across 12 Markets', 'Factory shortlist within 48 hours'),
   ('machinery', 3, 'Compare Suppliers & Capacity', 'Comparison sheet in 24 hours'), ('machinery', 4, 'Pre-Shipment Inspection & Test Run', 'Inspection report before balance payment'),
   ('machinery', 5, 'Track Shipment + Installation Handover', 'Commissioning within 14 days of arrival')) t(persona, step, title, sla)""")
@@ -101,7 +113,7 @@ def persona_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("persona", (F.col("at") + 1).alias("step"), "s.title", "s.sla")
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('architects', 'For Architects', 5), ('machinery', 'For Machinery Buyers', 5), ('businesses', 'For Businesses', 4)) t(persona, label, features)""")
 def persona_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of the dictionary of personas."""
@@ -110,7 +122,7 @@ def persona_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.select(F.explode(filters.entries(F.col("d"))).alias("e")).select(F.col("e.key").alias("persona"), "e.value.label", F.col("e.value.n").alias("features"))
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('certificate', 'ISO 9001:2015', 'Mar 2027'), ('certificate', 'CE Marking', 'Ongoing'), ('certificate', 'Bureau Veritas QC', 'Aug 2026'),
   ('inspection', 'INS-2026-118', 'Pass'), ('inspection', 'INS-2025-091', 'Pass'), ('inspection', 'INS-2025-052', 'Pass'), ('qc', 'Raw Material', NULL), ('qc', 'Production QC', NULL),
   ('qc', 'Pre-shipment Inspection', NULL), ('qc', 'Packaging Audit', NULL), ('gallery', 'https://picsum.photos/seed/fac1/600/400', NULL), ('gallery', 'https://picsum.photos/seed/fac2/600/400', NULL),
@@ -124,7 +136,7 @@ def scan_supplier_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionAll(fixtures.factory_images(spark).select(F.lit("gallery"), "image", none))
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('architects', 'Verona', '₹180', '10w', '100', NULL, NULL), ('architects', 'Guangdong', '₹58', '7w', '200', NULL, NULL), ('architects', 'Castellón', '₹38', '6w', '250', NULL, NULL),
   ('machinery', 'Jiangsu', '$48k', NULL, NULL, '120 u/hr', '24 mo'), ('machinery', 'Taiwan SS', '$62k', NULL, NULL, '110 u/hr', '36 mo'), ('machinery', 'Bremen', '$89k', NULL, NULL, '140 u/hr', '24 mo')
 ) t(persona, supplier, fob, lead, moq, output, warranty)""")
@@ -138,7 +150,7 @@ def quote_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lookups and rules -----------------------------------------------------
 
 
-@query("SELECT 'p3' AS id, 'Anatolian Travertine Floor Tile' AS name")
+@shown("SELECT 'p3' AS id, 'Anatolian Travertine Floor Tile' AS name")
 def product_must_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A product that has to be there; a missing one raises."""
     found = filters.by_either(fixtures.products(spark), "anatolian-travertine", ["id", "slug"])
@@ -146,13 +158,13 @@ def product_must_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "name")
 
 
-@query("SELECT * FROM (VALUES ('p2', 'Carrara Statuario Marble Slab'), ('p6', 'Nero Mosaic Feature Wall Tile')) t(id, name)")
+@shown("SELECT * FROM (VALUES ('p2', 'Carrara Statuario Marble Slab'), ('p6', 'Nero Mosaic Feature Wall Tile')) t(id, name)")
 def products_of_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G09."""
     return browse.of_supplier(fixtures.products(spark), "verona-stone-works").select("id", "name")
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('p1', 'Italian Marble Look Porcelain Tile', '600×1200 · Matt', 'China', 'https://picsum.photos/seed/tile1/900/600'),
   ('p2', 'Carrara Statuario Marble Slab', '800×800 · Glossy', 'Italy', 'https://picsum.photos/seed/tile2/900/600'),
   ('p3', 'Anatolian Travertine Floor Tile', '600×600 · Textured', 'Turkey', 'https://picsum.photos/seed/tile3/900/600'),
@@ -164,7 +176,7 @@ def cart_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cart.product_line(fixtures.products(spark))
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('f1', 'Italian Marble Look Porcelain Tile', '600×1200mm · Matt · Porcelain', 'Guangdong', 'https://picsum.photos/seed/featuretile/600/450'),
   ('f2', 'Matte Black Basin Mixer Tap', 'Brass · Single Lever · Matt Black', 'Wenzhou', 'https://picsum.photos/seed/mixer/600/450'),
   ('f3', 'CNC Laser Cutting Machine 1325', '1500W Fiber · 1300×2500mm bed', 'Jinan', 'https://picsum.photos/seed/cnc/600/450'),
@@ -186,16 +198,25 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select("p_partkey", filters.configured(config, payload, nested, F.lit("kind")).alias("label"))
 
 
-@query("SELECT 'No products match these filters.' AS message WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size > 1000)")
+_EMPTY = "SELECT 'above {b}' AS bound, 'No products match these filters.' AS message WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size > {b})"
+
+
+@query(" UNION ALL ".join(_EMPTY.format(b=b) for b in (10, 49, 1000)))
 def empty_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E06."""
-    return filters.nothing_found(_part(spark, sf_dir).where("p_size > 1000"), "No products match these filters.")
+    """Of three bounds, those that nothing passes."""
+    found = [filters.nothing_found(_part(spark, sf_dir).where(F.col("p_size") > b), "No products match these filters.").select(F.lit(f"above {b}").alias("bound"), "message") for b in (10, 49, 1000)]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+_BADGE = "SELECT count(*) AS n, count(*) || ' product' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS label FROM part WHERE {c} HAVING count(*) > 0"
+_BADGES = ("p_size = 7", "p_partkey = 3", "p_size > 1000")
 
 
-@query("SELECT count(*) AS n, count(*) || ' product' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS label FROM part WHERE p_size = 7 HAVING count(*) > 0")
+@query(" UNION ALL ".join(_BADGE.format(c=c) for c in _BADGES))
 def sticky_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E02, E06."""
-    return cart.badge(_part(spark, sf_dir).where("p_size = 7"))
+    """Lists of several, of one and of none."""
+    some, one, none = (cart.badge(_part(spark, sf_dir).where(c)) for c in _BADGES)
+    return some.unionAll(one).unionAll(none)
 
 
 @query("SELECT DISTINCT p_type FROM part WHERE p_type = 'NONE'")
@@ -210,7 +231,7 @@ def select_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cart.all_or_none(_part(spark, sf_dir), "p_partkey", every=True)
 
 
-@query("SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(position)")
+@shown("SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(position)")
 def placeholder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D30."""
     return cart.placeholders(fixtures.products(spark), 5)
@@ -228,7 +249,7 @@ def small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('p1', 'Italian Marble Look Porcelain Tile from Guangdong Elite Ceramics. 600×1200mm Matt Porcelain. Request a quote via shop.'),
   ('p6', 'Nero Mosaic Feature Wall Tile from Verona Stone Works. Custommm Matt Mosaic. Request a quote via shop.')) t(id, description)""")
 def product_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +268,7 @@ def page_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select("p_partkey", text.category_description(name, SITE).alias("category"), product.alias("product"), text.supplier_title(F.col("p_brand"), SITE).alias("title"))
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES ('', 0.0::DOUBLE), (' 12 ', 12.0), ('1d', 0.0), ('2f', 0.0), ('0x10', 16.0), ('-0x10', 0.0), ('0b101', 5.0), ('0o17', 15.0), ('1e3', 1000.0), ('.5', 0.5), ('5.', 5.0), ('.', 0.0),
   ('1,000', 0.0), ('NaN', 0.0), ('Infinity', 'Infinity'::DOUBLE), ('+Infinity', 'Infinity'::DOUBLE), ('-Infinity', '-Infinity'::DOUBLE), ('inf', 0.0), ('-7', -7.0), ('1e', 0.0), ('abc', 0.0)) t(typed, number)""")
 def typed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +277,7 @@ def typed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in typed], "typed string").select("typed", numbers.coerced(F.col("typed")).alias("number"))
 
 
-@query("""
+@shown("""
 SELECT * FROM (VALUES (58.0::DOUBLE, '58'), (12345678.5, '12345678.5'), (0.0005, '0.0005'), (0.000001, '0.000001'), (0.0000001, '1e-7'), (1e20, '100000000000000000000'), (1e21, '1e+21'),
   (1.5e300, '1.5e+300'), (-2.5, '-2.5'), (0.1, '0.1'), (9223372036854775808.0, '9223372036854776000'), (0.0, '0')) t(x, shown)""")
 def plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +286,7 @@ def plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in xs], "x double").select("x", numbers.plain(F.col("x")).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Published'), (6, 'Published'), (10, 'Needs Review')) t(id, status)")
+@shown("SELECT * FROM (VALUES (1, 'Published'), (6, 'Published'), (10, 'Needs Review')) t(id, status)")
 def publish_kept_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another upload resets the rows but not the selection, so rows selected before are published, ready or not."""
     selection = spark.createDataFrame([(1,), (6,)], "id int")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from brindle.plans import registry
+from brindle.plans import registry, storefront
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
@@ -45,6 +45,12 @@ def test_query(spark, duck, name):
     same(registry.queries()[name](spark, SF), duck, registry.oracles()[name])
 
 
+@pytest.mark.parametrize("name", sorted(storefront.SHOWN))
+def test_what_the_pages_show(spark, duck, name):
+    query, sql = storefront.SHOWN[name]
+    same(query(spark, SF), duck, sql)
+
+
 def test_flagship(spark):
     rows = registry.flagship(spark, SF).collect()
     assert rows and [r.p_partkey for r in rows] == sorted(r.p_partkey for r in rows)
