@@ -41,8 +41,21 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 MODEL_CHARS = 64
 #: Documents, the first by hash of their id and text, and places in the whole text of each, from whose words ordinary identifiers are made; random strings made.
 SAMPLE_DOCS, SAMPLE_PLACES, SAMPLE_RANDOM = 300, 200, 3000
+#: Names and rulers of each form made.
+SAMPLE_NAMES, SAMPLE_RULERS = 12000, 1280
 #: One labelled sample in so many calibrates the limits and trains nothing.
 HELD_OUT = 4
+#: Words of identifiers, as samples of ordinary ones, and abbreviations with digits that stand among them.
+WORDS = (
+    "account action address agent alert amount archive area array asset author average backup badge balance bank batch binary block board body border branch bridge browser bucket budget bundle button "
+    "calendar call cancel capacity card category cell chain change channel check child choice circle class client clock cloud cluster code collection color column command comment commit company compare "
+    "component compute condition connect console contact container content context contract control convert copy cost country create credit current cursor custom database date debug decimal decode delay "
+    "delete delivery depth detail device dialog directory discount display document domain download draft driver edge element email enable encode engine entity entry environment error event exception "
+    "execute exit expire export factor failure feature fetch field file filter final flag folder format frame function group hash height image input interval job key language level limit link lock matrix memory message"
+)
+SHORT = "ipv4 udp png gif xml json html css sql api uri url cpu gpu ram io id md5 crc32 utf16 ascii x86 arm64 aes256 rsa ssl tls http2 s3 v2 3d 64bit"
+#: What rulers and separators repeat.
+RULERS = "= - _ + / =- -= +- -+ -_ =+ -/ /- =_ a=b= x- 0- 0 x X A +/"
 #: A base span of each kind is looked for among the sorted ones in so many halvings.
 HALVINGS = 31
 ASCII = 128
@@ -104,7 +117,9 @@ def samples(docs: DataFrame) -> DataFrame:
 
     Random strings are encodings of hashes: hexadecimal, base 64 and capitals
     with digits. Ordinary identifiers are words of a bounded sample of the
-    documents, by themselves and joined as identifiers are.
+    documents, by themselves and joined as identifiers are, among them constants
+    and camel-case names with abbreviations and digits; and rulers, which are
+    one or two characters over and over.
     """
     spark = docs.sparkSession
     h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary"), 256)
@@ -116,16 +131,34 @@ def samples(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: (F.length(w) >= 2) & w.rlike(r"^[A-Za-z]+$"))
     words = texts.select(words.alias("w")).withColumn("n", F.size("w")).where("n > 3")
     pick = lambda i: F.get(F.col("w"), F.pmod(i, F.col("n")))
+    short = lambda i: F.substring(pick(i), 1, 4)
+    digits = lambda i: F.pmod(i * 7, F.lit(100)).cast("string")
     made = lambda i: F.array(
         F.concat(pick(i), pick(i + 1)), F.lower(F.concat_ws("_", pick(i), pick(i + 1), pick(i + 2))), F.upper(F.concat_ws("_", pick(i), pick(i + 1))),
         F.concat(F.lower(pick(i)), F.initcap(pick(i + 1)), F.initcap(pick(i + 2))), F.concat_ws("-", pick(i), pick(i + 1), F.pmod(i * 7, F.lit(100)).cast("string")), F.concat_ws("/", pick(i), pick(i + 1), pick(i + 2)),
         F.concat(pick(i), pick(i + 1), pick(i + 2), pick(i + 3)), F.concat_ws("/", *[pick(i + j) for j in range(12)]), F.lower(F.concat_ws("-", *[pick(i + j) for j in range(9)])),
+        F.upper(F.concat_ws("_", pick(i), short(i + 1), pick(i + 2), short(i + 3))), F.upper(F.concat_ws("_", short(i), F.concat(short(i + 1), digits(i)), short(i + 2), short(i + 3), pick(i + 4))),
+        F.concat(F.lower(pick(i)), F.initcap(pick(i + 1)), F.upper(short(i + 2)), F.initcap(pick(i + 3)), digits(i)), F.concat(F.initcap(short(i)), F.initcap(pick(i + 1)), digits(i), F.initcap(pick(i + 2)), F.upper(short(i + 3))),
     )
     # places from the whole text, evenly
     places = F.least(F.col("n"), F.lit(SAMPLE_PLACES))
     place = lambda k: F.floor(k * F.col("n") / places).cast("int")
     ordinary = words.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), places - 1), lambda k: made(place(k))))).alias("string"))
-    return randoms.unionAll(ordinary.select("string", F.lit(False).alias("random")))
+    # names of the words above, drawn by hash
+    known, few = F.split(F.lit(WORDS), " "), F.split(F.lit(SHORT), " ")
+    draw = lambda a, k: F.get(a, F.pmod(F.xxhash64("id", F.lit(k)), F.size(a)).cast("int"))
+    # some cut short at either end, as identifiers abbreviate, so that all letters meet where words do
+    cut = lambda k: F.substring(draw(known, k), F.pmod(F.xxhash64("id", F.lit(k + 20)), F.lit(4)).cast("int") + 1, F.pmod(F.xxhash64("id", F.lit(k + 40)), F.lit(4)).cast("int") + 3)
+    w = [F.when(F.pmod(F.col("id") + k, F.lit(3)) == 0, draw(known, k)).otherwise(cut(k)) for k in range(4)]
+    some = F.when(F.col("id") % 2 == 0, draw(few, 9)).otherwise(draw(known, 9))
+    names = F.array(
+        F.concat(w[0], F.initcap(w[1]), F.initcap(some), F.initcap(w[2])), F.concat(F.initcap(w[3]), F.initcap(some), F.initcap(w[0])), F.concat(some, F.initcap(w[1]), F.initcap(w[3]), F.initcap(some)),
+        F.upper(F.concat_ws("_", w[0], some, w[2])), F.upper(F.concat_ws("_", some, w[1], w[2], w[3])), F.concat_ws("_", w[3], some, w[1]), F.concat_ws("-", w[2], w[0], some),
+    )
+    named = spark.range(0, SAMPLE_NAMES, 1, 1).select(F.explode(names).alias("string"))
+    ruler = F.explode(F.transform(F.split(F.lit(RULERS), " "), lambda r: F.repeat(r, (8 + F.col("id") % 32).cast("int"))))
+    rulers = spark.range(0, SAMPLE_RULERS, 1, 1).select(ruler.alias("string"))
+    return randoms.unionAll(ordinary.unionAll(named).unionAll(rulers).select("string", F.lit(False).alias("random")))
 
 
 def _pairs(s: Column) -> Column:
@@ -182,8 +215,11 @@ class Model:
 def train(labelled: DataFrame) -> Model:
     """Models from (string, random). The counts collected are bounded by the alphabet's pairs.
 
-    Both limits lie between nearly all ordinary and nearly all random samples
-    among those that were held out and are long enough to be tokens.
+    Both limits lie between nearly all ordinary and nearly all random samples,
+    nearer to the random ones: identifiers are as many as texts have words,
+    and keys are few. The bar may miss more of the random samples, as whole
+    tokens are found by the threshold. Only samples count that were held out and are long enough
+    to be tokens.
     """
     labelled = labelled.where(F.col("string").rlike(r"^[\x21-\x7E]{2,}$")).withColumn("held", F.pmod(F.xxhash64("string"), F.lit(HELD_OUT)) == 0)
     pairs = labelled.where("not held").select("random", F.explode(_pairs(F.col("string"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
@@ -195,20 +231,21 @@ def train(labelled: DataFrame) -> Model:
     logs = {}
     for kind, counts in n.items():
         logs[kind] = _smoothed(counts)
-    ratios = [a - b for a, b in zip(logs[True], logs[False], strict=True)]
+    # a pair that neither class has shown tells nothing
+    ratios = [a - b if n[True][i] or n[False][i] else 0.0 for i, (a, b) in enumerate(zip(logs[True], logs[False], strict=True))]
     tokens = labelled.where(F.col("held") & F.col("string").rlike("^" + TOKEN + "$"))
 
-    def limits(value: Column) -> tuple[float | None, float | None]:
+    def limits(value: Column, lost: float) -> tuple[float | None, float | None]:
         scored = tokens.select("random", value.alias("s"))
-        at = scored.agg(F.percentile(F.when(~F.col("random"), F.col("s")), 0.9995).alias("o"), F.percentile(F.when(F.col("random"), F.col("s")), 0.02).alias("r")).first()
+        at = scored.agg(F.percentile(F.when(~F.col("random"), F.col("s")), 0.9995).alias("o"), F.percentile(F.when(F.col("random"), F.col("s")), lost).alias("r")).first()
         return at.o, at.r
 
-    most, least = limits(Model(ratios, 0.0).score(F.col("string")))
+    most, least = limits(Model(ratios, 0.0).score(F.col("string")), 0.02)
     if most is None or least is None:
         return Model(ratios, 0.5)
-    threshold = max(most + 0.05, (most + least) / 2)
-    most, least = limits(Model(ratios, threshold).peak(F.col("string")))
-    return Model(ratios, threshold, max(most + 1.0, (most + least) / 2))
+    threshold = max(most + 0.05, (most + 3 * least) / 4)
+    most, least = limits(Model(ratios, threshold).peak(F.col("string")), 0.06)
+    return Model(ratios, threshold, max(most + 1.0, least))
 
 
 def _smoothed(counts: list[float], strength: float = 20.0) -> list[float]:

@@ -63,6 +63,25 @@ def test_models_tell_random_strings(spark, sf):
     assert sum(score(names)) <= 0.03 * len(names)
 
 
+def test_rulers_constants_and_names_are_ordinary(spark, sf01):
+    """Heading lines, diff marks, constants and camel-case names of words that no sample has; keys of 16 to 40 characters are found."""
+    r = random.Random(21)
+    model = secrets.train(secrets.samples(spark.read.parquet(f"{sf01}/documents.parquet")))
+    words = "max min utf8 tcp jpeg http buffer size default retry count user session cache index parser stream handler config socket timeout value base64 sha256 node tree list map factory builder".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rulers = [c * n for c in "=-_+/" for n in range(16, 56)] + ["a=b=c=d=e=f=g=h=i=", "=-" * 12, "+-" * 30, "/" * 70, "-=" * 40]
+    pick = lambda k: [r.choice(words) for _ in range(k)]
+    constants = [c for c in ("_".join(pick(r.randint(3, 5))).upper() for _ in range(600)) if len(c) >= 16][:400]
+    camel = [c for c in ("".join(w if i == 0 else w.capitalize() for i, w in enumerate(pick(r.randint(3, 5)))) for _ in range(600)) if len(c) >= 16][:400]
+    keys = ["".join(r.choice(letters) for _ in range(r.randint(16, 40))) for _ in range(400)]
+    from pyspark.sql import functions as F
+
+    rows = [(k, t) for k, ts in (("ruler", rulers), ("constant", constants), ("camel", camel), ("key", keys)) for t in ts]
+    got = spark.createDataFrame(rows, "k string, t string").select("k", model.random(F.col("t")).alias("r")).groupBy("k").agg(F.avg(F.col("r").cast("int")).alias("share"))
+    share = {x.k: x.share for x in got.collect()}
+    assert share["ruler"] == 0 and share["constant"] <= 0.01 and share["camel"] <= 0.02 and share["key"] >= 0.98
+
+
 def test_long_tokens_are_read_whole(spark, sf):
     """A key counts wherever it stands in a long token; each part of 64 characters has its score."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
