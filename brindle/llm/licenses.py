@@ -13,6 +13,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
@@ -59,7 +60,26 @@ SENTENCES = {
     "cc-by-nc-4.0-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "rights": "all rights reserved",
+    "gpl-2-only-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+    "gpl-2-only-as": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl-3-only-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "lgpl-2.1-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-3-library": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl-2.0-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "bsl-1.0": "distributed under the boost software license version 1 0",
 }
+#: Identifiers that a line of its own may name.
+TAGS = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "Zlib", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+SENTENCES |= {f"tag-{t}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", t.lower()) for t in TAGS}
 #: Rules in order: license, and the sentences that must follow each other.
 RULES = (
     ("Apache-2.0", ("apache-2.0-notice-the", "apache-2.0-may-not", "apache-2.0-copy", "apache-2.0-as-is", "apache-2.0-see")),
@@ -69,6 +89,13 @@ RULES = (
     ("ISC", ("isc-grant", "isc-as-is")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
     ("GPL-2.0-or-later", ("gpl-2-free", "gpl-hope", "gpl-details")),
+    ("GPL-3.0-only", ("gpl-3-only-free", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-only", ("gpl-2-only-free", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-only", ("gpl-2-only-as", "gpl-hope", "gpl-details")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl-3-library", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl-3-free", "gpl-hope", "lgpl-details")),
     ("MPL-2.0", ("mpl-2.0-form", "mpl-2.0-copy")),
     ("Apache-2.0", ("apache-2.0-notice",)),
     ("Apache-2.0", ("apache-2.0-notice-the",)),
@@ -80,7 +107,19 @@ RULES = (
     ("GPL-3.0-only", ("gpl-3.0-work",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl-2-free",)),
+    ("GPL-3.0-only", ("gpl-3-only-free",)),
+    ("GPL-2.0-only", ("gpl-2-only-free",)),
+    ("GPL-2.0-only", ("gpl-2-only-as",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("AGPL-3.0-or-later", ("agpl-details",)),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-free",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-free",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-library",)),
     ("LGPL", ("lgpl-details",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("EPL-2.0", ("epl-2.0-terms",)),
+    ("BSL-1.0", ("bsl-1.0",)),
     ("MPL-2.0", ("mpl-2.0-form",)),
     ("Unlicense", ("unlicense",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0",)),
@@ -90,6 +129,7 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-4.0",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4.0-work",)),
     ("CC0-1.0", ("cc0",)),
+    *[(t, (f"tag-{t}",)) for t in TAGS],
     ("all-rights-reserved", ("rights",)),
 )
 #: Every known sentence has one of these; sentences without are not normalised.
@@ -97,11 +137,19 @@ ANCHORS = r"(?i)licen[sc]e|permi(?:ssion|tted)|warrant|copyright|redistribut|rig
 #: Ends of sentences; a list's colon and semicolon end one too.
 ENDS = r"(?<=[.!?:;])\s+|\n[\x20\t\r]*\n"
 #: Sentences whose usual wording has such an end inside ("free software; you can", "License, v. 2.0"), and what a text with one holds.
-CUT = ("gpl-free", "gpl-2-free", "gpl-hope", "mpl-2.0-form")
+CUT = ("gpl-free", "gpl-2-free", "gpl-hope", "mpl-2.0-form", "gpl-2-only-free", "gpl-2-only-as", "gpl-3-only-free", "agpl-free", "lgpl-2.1-free", "lgpl-3-free", "lgpl-3-library", "lgpl-hope")
 CUT_CUE = r"(?i)free[\W_]+software[\W_]+foundation|without[\W_]+any[\W_]+warranty|mozilla[\W_]+public"
 #: Pieces of them at most.
 CUT_PIECES = 3
 
+#: What is put in order before a text is cut into sentences: a line of comment marks alone is a blank line; the name that a
+#: sentence leaves open, which may hold a full stop, is the one of the known sentence; a tag and its colon belong to one line.
+PREPARED = (
+    (r"\n[\x20\t]*(?:/\*+|\*+/?|/+|#+|;+|--+)[\x20\t\r]*\n", "\n\n"),
+    (r"(?is)neither[\W_]+the[\W_]+names?[\W_]+of\b.{1,120}?\bnor[\W_]+the[\W_]+names[\W_]+of[\W_]+(?:its|any|other|the|their)\b", "neither the name of the copyright holder nor the names of its"),
+    (r"(?i)spdx-license-identifier:", "spdx-license-identifier "),
+)
+
 
 def normal(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{Nd}]+", F.lit(" ")))
@@ -134,6 +182,13 @@ def _whole(pieces: Column, alone: Callable[[Column], Column]) -> Column:
     return once(once(F.transform(pieces, normal), runs), placed)
 
 
+def prepared(text: Column) -> Column:
+    out = text
+    for pattern, to in PREPARED:
+        out = F.regexp_replace(out, pattern, F.lit(to))
+    return F.when(text.rlike(ANCHORS), out).otherwise(text)
+
+
 def sequence(text: Column) -> Column:
     """Identifiers of the known sentences, in the text's order.
 
@@ -170,7 +225,7 @@ def licenses(ids: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifiers in order), licenses (one for each rule's match)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    found = docs.select("doc_id", sequence(F.col("text")).alias("sentences"))
+    found = docs.select("doc_id", prepared(F.col("text")).alias("text")).select("doc_id", sequence(F.col("text")).alias("sentences"))
     return found.withColumn("licenses", licenses(F.col("sentences")))
 
 

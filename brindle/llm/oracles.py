@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm.licenses import CUT, RULES, SENTENCES
+from brindle.llm.licenses import CUT, PREPARED, RULES, SENTENCES
 
 #: Words are runs of characters other than ASCII white space.
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -95,13 +95,16 @@ def _licenses() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in SENTENCES.items())
     normal = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
+    text = "coalesce(text, '')"
+    for pattern, to in PREPARED:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to)}, 'g')"
     steps = []
     for i, (name, seq) in enumerate(RULES):
         key = quoted("".join(f"<{x}>" for x in seq))
         steps.append(f"r{i + 1} AS (SELECT doc_id, row, ids, replace(rest, {key}, '#') AS rest, CASE WHEN contains(rest, {key}) THEN list_append(found, {quoted(name)}) ELSE found END AS found FROM r{i})")
     return f"""
 WITH known(id, sentence) AS (VALUES {known}),
-d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, row_number() OVER () AS row, {text} AS text FROM documents),
 s AS (
   SELECT row, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (
     SELECT row, string_split(regexp_replace(regexp_replace(text, '([.!?:;])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(30), 'g'), '\\n[ \\t\\r]*\\n', chr(30), 'g'), chr(30)) AS x FROM d

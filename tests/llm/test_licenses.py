@@ -221,3 +221,45 @@ def test_every_sentence_is_reachable(spark):
     rows = [(i, ". ".join(licenses.SENTENCES[x].capitalize() for x in seq) + ".") for i, (_, seq) in enumerate(licenses.RULES)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].licenses for i in range(len(rows))] == [[name] for name, _ in licenses.RULES]
+
+
+MORE = {
+    "AGPL-3.0-or-later": GPL.format(":", ",", 3).replace("GNU General", "GNU Affero General"),
+    "GPL-2.0-only": GPL.format(";", ";", 2).replace("either version 2 of the License, or\n    (at your option) any later version.", "version 2 of the License."),
+    "GPL-3.0-only": GPL.format(":", ",", 3).replace("either version 3 of the License, or\n    (at your option) any later version.", "version 3 of the License."),
+    "LGPL-2.1-or-later": GPL.format(";", ";", "2.1").replace("program", "library").replace("GNU General", "GNU Lesser General"),
+    "LGPL-3.0-or-later": GPL.format(":", ",", 3).replace("GNU General", "GNU Lesser General"),
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+""",
+    "EPL-2.0": """This program and the accompanying materials
+are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+
+""",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt.)\n",
+    "BSD-3-Clause": NOTICES["BSD-3-Clause"].replace("the copyright holder nor", "Google Inc. nor"),
+}
+MORE |= {f"{t} ": f"SPDX-License-Identifier: {t}\nint main() { {} }\n" for t in licenses.TAGS}
+
+
+def test_notices_in_comments_with_names_and_tags(spark):
+    """Each notice, plain and inside the usual comments, yields its license and no other; SQL agrees."""
+    wraps = {
+        "plain": lambda v: v, "slashes": lambda v: "".join(f"// {x}".rstrip() + "\n" for x in v.splitlines()), "hash": lambda v: "".join(f"# {x}".rstrip() + "\n" for x in v.splitlines()),
+        "block": lambda v: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in v.splitlines()) + " */\n", "markup": lambda v: f"<!--\n{v}\n-->\n",
+    }
+    cases = [(k.strip(), how, "code before\n\n" + f(v) + "\nx = 1\n") for k, v in [*NOTICES.items(), *MORE.items()] for how, f in wraps.items()]
+    rows = [(i, text) for i, (_, _, text) in enumerate(cases)]
+    got = {r.doc_id: r for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(k, how, got[i].licenses) for i, (k, how, _) in enumerate(cases) if got[i].licenses != k]
+    assert wrong == []
+    sql = _sql_rows(rows)
+    assert all((got[i].sentences, got[i].licenses) == sql[i] for i, _ in rows)
