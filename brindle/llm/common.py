@@ -8,6 +8,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -40,18 +41,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-_SCRATCH: list[str] = []
+#: Each thread has scopes of its own, so operators that run side by side do not share folders.
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[str]:
+    return _LOCAL.__dict__.setdefault("scopes", [])
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is ``written`` within, unless it is to be kept, is deleted at the end: no frame that is used later may rest on it."""
     path = new_path(spark, "scratch")
-    _SCRATCH.append(path)
+    _scopes().append(path)
     try:
         yield
     finally:
-        _SCRATCH.remove(path)
+        _scopes().remove(path)
         _delete(spark, path)
 
 
@@ -62,7 +68,7 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{_SCRATCH[-1]}/{label}-{uuid.uuid4().hex}" if _SCRATCH and not keep else new_path(spark, label)
+    path = f"{_scopes()[-1]}/{label}-{uuid.uuid4().hex}" if _scopes() and not keep else new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

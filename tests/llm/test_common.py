@@ -31,3 +31,30 @@ def test_large_tables_stay_as_they_are(spark, monkeypatch):
     monkeypatch.setattr("brindle.llm.common.DEAL_BYTES", 0)
     one = spark.range(100, numPartitions=1)
     assert dealt(one) is one
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    """Two operators side by side: the one that ends first leaves the other's tables alone."""
+    import threading
+
+    from brindle.llm.common import scratch, written
+
+    first, second = threading.Event(), threading.Event()
+    seen = []
+
+    def one():
+        with scratch(spark):
+            df = written(spark.range(5), "one")
+            first.set()
+            second.wait(60)
+            seen.append(df.count())
+
+    t = threading.Thread(target=one)
+    t.start()
+    first.wait(60)
+    with scratch(spark):
+        other = written(spark.range(3), "two")
+        assert other.count() == 3
+    second.set()
+    t.join()
+    assert seen == [5]
