@@ -79,7 +79,7 @@ def test_rulers_constants_and_names_are_ordinary(spark, sf01):
     rows = [(k, t) for k, ts in (("ruler", rulers), ("constant", constants), ("camel", camel), ("key", keys)) for t in ts]
     got = spark.createDataFrame(rows, "k string, t string").select("k", model.random(F.col("t")).alias("r")).groupBy("k").agg(F.avg(F.col("r").cast("int")).alias("share"))
     share = {x.k: x.share for x in got.collect()}
-    assert share["ruler"] == 0 and share["constant"] <= 0.01 and share["camel"] <= 0.02 and share["key"] >= 0.98
+    assert share["ruler"] == 0 and share["constant"] <= 0.01 and share["camel"] <= 0.03 and share["key"] >= 0.98
 
 
 def test_long_tokens_are_read_whole(spark, sf):
