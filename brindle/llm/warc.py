@@ -4,12 +4,13 @@ Captures are written as gzip members, one WARC record each, through Spark's
 text writer, so any store that Spark writes to will do. Payloads equal to one
 of a smaller id become revisit records. Reading back, each task checks the
 records it reads and leaves capture runs of bounded length, sorted by (URL key,
-timestamp, id). Runs are stored, their key ranges dealt over tasks, and each task
-merges its slices of all runs with a loser tree. A task's rows arrive block by
-block in the order of the blocks' first keys, so it holds one block of each run
-and a bounded number of rows besides, and hands on all rows before the next
-block's first key. The ranges are in order, so their merged parts laid end to
-end are the globally ordered capture histories.
+timestamp, id) and stored in blocks. Key ranges are chosen from the blocks' first
+keys, the few blocks that cross a bound are cut there, and each task merges a
+range with a loser tree. Spark orders whole blocks only, by their first keys:
+that is the order in which the merge needs them, so a task holds one block of
+each run, and the Arrow batches that it reads and writes. More than FAN_IN runs are merged level by level,
+FAN_IN into one. The ranges are in order, so their merged parts laid end to end
+are the globally ordered capture histories.
 
 Defined results: a null payload is empty; a null url has the empty key; any id
 has a capture time, the first or last one there is if its own cannot be written;
@@ -21,7 +22,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_arrow, new_path, scratch, written
+from brindle.llm.common import map_arrow, new_path, row_hash, scratch, written
 
 #: Smaller payloads are always stored.
 LEAST_SHARED = 100
@@ -41,10 +44,14 @@ BROADCAST_GROUPS = 100_000
 #: Page n of a table without capture times was captured n seconds after this.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 FIRST, LAST = datetime(1, 1, 2, tzinfo=UTC), datetime(9999, 12, 30, tzinfo=UTC)
-#: Captures of a run, and of a block of a run; rows that a merge takes in before it builds its tree anew.
-RUN_ROWS, BLOCK_ROWS, CHUNK_ROWS = 50_000, 500, 20_000
+#: Captures of a run, and of a block of a run; runs that a task merges at once: it holds FAN_IN * BLOCK_ROWS captures at most.
+RUN_ROWS, BLOCK_ROWS, FAN_IN = 50_000, 100, 64
+#: Blocks of an Arrow batch; a run's number is that of its task, then of the run there; a merged run's places are its ranges', then the place there.
+BATCH_BLOCKS, TASK_BITS, RANGE_BITS = 50, 24, 36
 #: Captures of a key range, expected; small tables have as many ranges as a shuffle has partitions.
 RANGE_ROWS = 500_000
+#: First keys that the driver sorts to find the bounds of ranges: so many for each, and at most so many.
+RANGE_HEADS, MOST_HEADS = 20, 1_000_000
 #: An empty gzip member. It ends each record's own member, and cannot occur
 #: in stored UTF-8 text, as no character has these first two bytes.
 SEPARATOR = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
@@ -147,6 +154,7 @@ def write(pages: DataFrame, path: str) -> None:
 INDEX = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _FIELDS = [x.split()[0] for x in INDEX.split(", ")]
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+_TYPES |= {f"array<{t}>": pa.list_(a) for t, a in _TYPES.items()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -160,38 +168,53 @@ def sort_key(row: tuple) -> tuple:
     return row[0], row[1], row[2] is not None, row[2] or 0
 
 
-RUNS = "run long, pos long, block_url_key string, block_captured string, block_page_id long, " + INDEX
+#: A block is one row: its run, the place of its first capture there, the first and the last key, and its captures by columns.
+_KEYS = [f"{end}_{x}" for end in ("first", "last") for x in ("url_key string", "captured string", "page_id long")]
+BLOCKS = ", ".join(["run long", "pos long", *_KEYS, "n long", *(f"{x.split()[0]} array<{x.split()[1]}>" for x in INDEX.split(", "))])
+_BLOCK = [x.split()[0] for x in BLOCKS.split(", ")]
+_HEAD = len(_BLOCK) - len(_FIELDS)
+
+
+def blocked(run: int, pos: int, rows: list[tuple]) -> Iterator[tuple]:
+    """Blocks of neighbouring captures of a run, the first of which has place ``pos`` in it."""
+    for at in range(0, len(rows), BLOCK_ROWS):
+        block = rows[at : at + BLOCK_ROWS]
+        yield run, pos + at, *block[0][:3], *block[-1][:3], len(block), *zip(*block, strict=True)
+
+
+def captures(block: tuple) -> list[tuple]:
+    """A block's captures, each with its run and place."""
+    return [(*c, block[0], block[1] + i) for i, c in enumerate(zip(*block[_HEAD:], strict=True))]
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Capture runs of at most RUN_ROWS rows: a run's number, a row's place in it, the first key of its block, and the capture."""
+    """Sorted runs of at most RUN_ROWS captures, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows = TaskContext.get().partitionId() << 24, []
+        number, rows = TaskContext.get().partitionId() << TASK_BITS, []
         for b in batches:
             for member in b.column("member"):
                 if raw := member.as_py():
                     got = parsed(zlib.decompress(raw, 31))
                     rows.append(tuple(got[f] for f in _FIELDS))
                 if len(rows) == RUN_ROWS:
-                    yield from blocks(number, rows)
+                    yield from sent(number, rows)
                     number, rows = number + 1, []
-        yield from blocks(number, rows)
+        yield from sent(number, rows)
 
-    def blocks(number: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def sent(number: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=sort_key)
-        placed = [(number, i, *rows[i - i % BLOCK_ROWS][:3], *r) for i, r in enumerate(rows)]
-        for at in range(0, len(placed), 10_000):
-            yield _batch(placed[at : at + 10_000], RUNS)
+        for at in range(0, len(rows), BATCH_BLOCKS * BLOCK_ROWS):
+            yield _batch(list(blocked(number, at, rows[at : at + BATCH_BLOCKS * BLOCK_ROWS])), BLOCKS)
 
     members = spark.read.option("lineSep", LATIN).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("member"))
-    return map_arrow(members, run, RUNS)
+    return map_arrow(members, run, BLOCKS)
 
 
 class LoserTree:
     """Merges sorted iterators: inner nodes hold losers, and only the path of the last winner is replayed."""
 
-    def __init__(self, runs: Iterable[Iterable[tuple]], key: Callable[[tuple], tuple] = sort_key):
+    def __init__(self, runs: Iterable[Iterable[tuple]] = (), key: Callable[[tuple], tuple] = sort_key):
         self.runs, self.key = [iter(r) for r in runs], key
         self.size = 1
         while self.size < len(self.runs):
@@ -216,6 +239,20 @@ class LoserTree:
         self.losers[node] = loser
         return winner
 
+    def load(self, i: int, rows: Iterable[tuple]) -> None:
+        """Gives run i, which has to be at its end or the next new one, more rows, and plays all matches anew."""
+        if i == len(self.runs):
+            self.runs.append(iter(()))
+            if i == self.size:
+                self.heads += [(True, (), None)] * self.size
+                self.size *= 2
+                self.losers = [-1] * self.size
+        if not self.heads[i][0]:
+            raise ValueError(f"run {i} is not at its end")
+        self.runs[i] = iter(rows)
+        self.heads[i] = self._next(i)
+        self.winner = self._play(1)
+
     def __iter__(self) -> Iterator[tuple]:
         return self.until(None)
 
@@ -232,63 +269,117 @@ class LoserTree:
                 node //= 2
             self.winner = i
 
-    def left(self) -> list[list[tuple]]:
-        """What the merge has not handed on of each run that is not done."""
-        return [[head[2], *run] for head, run in zip(self.heads, self.runs, strict=False) if not head[0]]
 
+def place(row: tuple) -> tuple:
+    """Of a capture with its run and place."""
+    return *sort_key(row), row[-2], row[-1]
 
-def streamed(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Merges (run, pos, first key of the block, capture), which arrive in the order of (first key, run, pos).
 
-    A row that has not arrived yet lies behind the first key of the last block
-    that has, so everything before it can be handed on. Of each run no more than
-    one block waits.
-    """
+def streamed(blocks: Iterable[tuple]) -> Iterator[tuple]:
+    """Merges runs whose blocks come in the order of their first captures' places.
 
-    def place(row: tuple) -> tuple:
-        return *sort_key(row[5:]), row[0], row[1]
-
-    waiting: list[list[tuple]] = []
-    coming: dict[int, list[tuple]] = {}
-    held = 0
-    last = None
-    for row in rows:
-        block = (row[0], row[1] // BLOCK_ROWS)
-        if block != last and held >= max(CHUNK_ROWS, 2 * sum(map(len, waiting))):
-            tree = LoserTree([*waiting, *coming.values()], place)
-            yield from tree.until((*sort_key(row[2:5]), row[0], row[1]))
-            waiting, coming, held = tree.left(), {}, 0
-        last = block
-        coming.setdefault(row[0], []).append(row)
-        held += 1
-    yield from LoserTree([*waiting, *coming.values()], place)
-
-
-def merged(runs: DataFrame) -> DataFrame:
+    Everything before the first capture of the next block has arrived and is
+    handed on before that block is taken in. So a run's last block is at its end
+    when its next one comes, and of each run no more than one block waits.
+    """
+    tree, leaf = LoserTree(key=place), {}
+    for block in blocks:
+        rows = captures(block)
+        yield from tree.until(place(rows[0]))
+        tree.load(leaf.setdefault(block[0], len(leaf)), rows)
+    yield from tree
+
+
+def bounds(blocks: DataFrame, ranges: int) -> list[tuple]:
+    """Places that part the captures into about equal ranges, from the first keys of some of the blocks."""
+    if ranges < 2:
+        return []
+    wanted, total = min(RANGE_HEADS * ranges, MOST_HEADS), blocks.count()
+    share = min(1 << 62, (1 << 63) * wanted // max(1, total))
+    some = blocks if total <= wanted else blocks.where(row_hash("run", "pos") < share)
+    heads = sorted(place(tuple(r)) for r in some.select(*_BLOCK[2:5], "run", "pos").collect())
+    return sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
+
+
+def level(blocks: DataFrame, runs: int, schema: str, group: Column) -> DataFrame:
+    """One level of the merge: the runs of a ``group`` become one, range by range.
+
+    With ``schema`` BLOCKS these are blocks of the longer runs; with HISTORIES,
+    which is for one group only, captures with their range and place in it.
+    """
+    spark = blocks.sparkSession
+    groups = -(-runs // FAN_IN)
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-cores // groups), -(-total // (groups * RANGE_ROWS)))
+    shared = spark.sparkContext.broadcast(bounds(blocks, ranges))
+    cut_schema = f"range long, {BLOCKS}, group long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits = shared.value
+        for b in batches:
+            out = []
+            for at, (r, pos, *ends, n) in enumerate(zip(*(c.to_pylist() for c in b.columns[:_HEAD]), strict=True)):
+                low = bisect.bisect_right(limits, place((*ends[:3], r, pos)))
+                if low == bisect.bisect_right(limits, place((*ends[3:], r, pos + n - 1))):
+                    out.append((low, at, 0, n))
+                    continue
+                found = [bisect.bisect_right(limits, place(c)) for c in captures(tuple(c[at].as_py() for c in b.columns[:-1]))]
+                edges = [0, *(i for i in range(1, n) if found[i] != found[i - 1]), n]
+                out += [(found[x], at, x, y) for x, y in itertools.pairwise(edges)]
+            whole = [(low, at) for low, at, x, y in out if y - x == b.column("n")[at].as_py()]
+            kept = b.take(pa.array([at for _, at in whole], pa.int64()))
+            names = [x.split()[0] for x in cut_schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([low for low, _ in whole], pa.int64()), *kept.columns], names)
+            parts = []
+            for low, at, x, y in out:
+                if y - x < b.column("n")[at].as_py():
+                    block = tuple(c[at].as_py() for c in b.columns)
+                    rows = list(zip(*block[_HEAD:-1], strict=True))[x:y]
+                    parts.append((low, *next(blocked(block[0], block[1] + x, rows)), block[-1]))
+            if parts:
+                yield _batch(parts, cut_schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = (b.slice(at, 10) for b in batches for at in range(0, b.num_rows, 10))
+        incoming = (r for b in few for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (group_number, part), of_part in itertools.groupby(incoming, key=lambda r: (r[-1], r[0])):
+            at, rows = 0, streamed(r[1:-1] for r in of_part)
+            while chunk := [r[:-2] for r in itertools.islice(rows, BATCH_BLOCKS * BLOCK_ROWS)]:
+                if schema == BLOCKS:
+                    yield _batch(list(blocked(group_number, (part << RANGE_BITS) + at, chunk)), BLOCKS)
+                else:
+                    yield _batch([(part, at + i, *r) for i, r in enumerate(chunk)], schema)
+                at += len(chunk)
+
+    pieces = map_arrow(blocks.withColumn("group", group), cut, cut_schema)
+    pieces = pieces.repartitionById(groups * ranges, (F.col("group") * ranges + F.col("range")).cast("int"))
+    pieces = pieces.sortWithinPartitions("group", "range", *_BLOCK[2:5], "run", "pos")
+    return map_arrow(pieces, merge, schema)
+
+
+HISTORIES = "part long, at long, " + INDEX
+
+
+def merged(blocks: DataFrame) -> DataFrame:
     """All captures with ``position``, their place in the global order by (url_key, captured, page_id).
 
-    ``runs`` are those of ``read_runs``. Key ranges are as many as the rows ask for
-    and found by Spark's sampling; as they include the id, the run and the place in
-    it, a URL with very many captures, or one capture repeated, spans ranges.
+    ``blocks`` are those of ``read_runs``, written. While there are more than
+    FAN_IN runs, each FAN_IN of them are merged into one and written.
     """
-    spark = runs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        incoming = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        rows, part, at = [], TaskContext.get().partitionId(), 0
-        for row in streamed(incoming):
-            rows.append((part, at, *row[5:]))
-            at += 1
-            if len(rows) == 10_000:
-                yield _batch(rows, "part int, at long, " + INDEX)
-                rows = []
-        if rows:
-            yield _batch(rows, "part int, at long, " + INDEX)
-
-    ranged = runs.repartitionByRange(parts, "url_key", "captured", "page_id", "run", "pos")
-    ranged = ranged.sortWithinPartitions("block_url_key", "block_captured", "block_page_id", "run", "pos")
-    out = written(map_arrow(ranged, run, "part int, at long, " + INDEX), "histories", keep=True)
+    # a row for each task that read archives; its runs follow those of the tasks before it
+    tasks = blocks.groupBy(F.shiftright("run", TASK_BITS).alias("task")).agg((F.max(F.col("run").bitwiseAND((1 << TASK_BITS) - 1)) + 1).alias("runs"))
+    tasks = written(tasks, "tasks")
+    runs = tasks.agg(F.sum("runs")).first()[0] or 0
+    if runs > FAN_IN:
+        before = F.coalesce(F.sum("runs").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = tasks.select("task", before.alias("start"))
+        blocks = blocks.withColumn("task", F.shiftright("run", TASK_BITS)).join(F.broadcast(starts), "task")
+        blocks = blocks.select((F.col("start") + F.col("run").bitwiseAND((1 << TASK_BITS) - 1)).alias("run"), *_BLOCK[1:])
+    while runs > FAN_IN:
+        blocks = written(level(blocks, runs, BLOCKS, F.floor(F.col("run") / FAN_IN)), "level")
+        runs = -(-runs // FAN_IN)
+    out = written(level(blocks, max(1, runs), HISTORIES, F.lit(0).cast("long")), "histories", keep=True)
     # a row for each range
     counts = out.groupBy("part").agg(F.count("*").alias("rows"))
     start = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -108,45 +108,74 @@ def test_ids_of_any_size(spark):
     assert times == sorted(times) and {len(t) for t in times} == {20}
 
 
-def _run_rows(runs):
-    rows = []
+def _blocks(runs):
+    out = []
     for number, run in enumerate(runs):
-        run = sorted(run, key=warc.sort_key)
-        rows += [(number, i, *run[i - i % warc.BLOCK_ROWS], *r) for i, r in enumerate(run)]
-    return sorted(rows, key=lambda r: (*warc.sort_key(r[2:5]), r[0], r[1]))
+        out += warc.blocked(number, 0, sorted(((*c, *[None] * (7 - len(c))) for c in run), key=warc.sort_key))
+    return sorted(out, key=lambda b: (*warc.sort_key(b[2:5]), b[0], b[1]))
 
 
 def test_streamed_merge(monkeypatch):
     r = random.Random(6)
     monkeypatch.setattr(warc, "BLOCK_ROWS", 3)
-    monkeypatch.setattr(warc, "CHUNK_ROWS", 5)
     for _ in range(200):
         keys = r.choice(["a", "ab", "abcdef"])
         runs = [[(r.choice(keys), r.choice("xy"), r.choice([None, *range(r.choice([1, 40]))])) for _ in range(r.randrange(40))] for _ in range(r.randrange(6))]
-        got = [x[5:] for x in warc.streamed(iter(_run_rows(runs)))]
+        got = [x[:3] for x in warc.streamed(_blocks(runs))]
         assert got == sorted((x for run in runs for x in run), key=warc.sort_key)
 
 
+def _held(runs):
+    """Captures taken in and not handed on yet, at most; and all of them in order."""
+    taken = given = most = 0
+
+    def incoming():
+        nonlocal taken, most
+        for block in _blocks(runs):
+            taken += len(block[-1])
+            most = max(most, taken - given)
+            yield block
+
+    rows = []
+    for row in warc.streamed(incoming()):
+        given += 1
+        rows.append(row[:3])
+    return most, rows
+
+
 def test_merge_holds_little():
-    """A range ten times as long takes no more memory."""
-    import tracemalloc
-
-    def peak(n):
-        def rows():
-            # 8 runs over the same keys, in the order in which a shuffle hands their blocks on
-            for block in range(n // 8 // warc.BLOCK_ROWS):
-                for run in range(8):
-                    first = block * warc.BLOCK_ROWS
-                    for pos in range(first, first + warc.BLOCK_ROWS):
-                        yield run, pos, "k", "t", first * 8 + run, "k", "t", pos * 8 + run
-
-        tracemalloc.start()
-        last = -1
-        for x in warc.streamed(rows()):
-            assert x[7] > last
-            last = x[7]
-        size = tracemalloc.get_traced_memory()[1]
-        tracemalloc.stop()
-        return size
-
-    assert peak(400_000) < 1.3 * peak(40_000)
+    """1,000 runs of 200 captures each, which all overlap: level by level no task holds 5 % of them."""
+    r = random.Random(9)
+    keys = list(range(200_000))
+    r.shuffle(keys)
+    runs = [[("k", "t", k) for k in keys[at : at + 200]] for at in range(0, len(keys), 200)]
+    most = 0
+    while len(runs) > 1:
+        groups = [runs[at : at + warc.FAN_IN] for at in range(0, len(runs), warc.FAN_IN)]
+        found = [_held(group) for group in groups]
+        most, runs = max(most, *(m for m, _ in found)), [rows for _, rows in found]
+    assert runs == [[("k", "t", k) for k in range(200_000)]]
+    assert most < 0.05 * 200_000
+
+
+def test_levels_of_the_merge(spark, monkeypatch):
+    """More runs than are merged at once, blocks cut at the bounds of ranges, one URL in most captures, repeated captures."""
+    r = random.Random(4)
+    captures = [(r.choice(["hot", "hot", "hot", f"k{r.randrange(60)}"]), r.choice("xy"), r.choice([None, *range(30), r.randrange(10**9)]), 1, "d", "response", None) for _ in range(3000)]
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(warc, "FAN_IN", 3)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 100)
+    blocks = []
+    for task in range(7):
+        for number in range(r.choice([1, 4, 6])):
+            run = [captures.pop() for _ in range(min(len(captures), r.randrange(1, 110)))]
+            blocks += [((task << warc.TASK_BITS) + number, run)]
+    rows = [b for number, run in blocks for b in warc.blocked(number, 0, sorted(run, key=warc.sort_key))]
+    sizes = {b[8] for b in rows}
+    assert 7 in sizes
+    with warc.scratch(spark):
+        written = warc.written(spark.createDataFrame(rows, warc.BLOCKS), "test")
+        got = sorted(warc.merged(written).collect(), key=lambda x: x.position)
+    wanted = sorted((c for _, run in blocks for c in run), key=warc.sort_key)
+    assert [tuple(x)[:3] for x in got] == [c[:3] for c in wanted]
+    assert [x.position for x in got] == list(range(len(wanted)))
