@@ -145,3 +145,52 @@ def test_training_reads_whole_texts(spark):
     finally:
         pii.labelled = whole
     assert any("call" in t for t in seen) and any("xxx" in t for t in seen)
+
+
+def _planted(spark, sf01, make, n=150, seed=41):
+    """Texts of documents with one string set among their words, and its place."""
+    r = random.Random(seed)
+    texts = [x.text for x in spark.read.parquet(f"{sf01}/documents.parquet").where("length(text) > 300 and doc_id >= 500").collect()]
+    out = []
+    for _ in range(n):
+        text = r.choice(texts)
+        at = r.choice([m.end() for m in re.finditer(" ", text)])
+        piece = make(r)
+        out.append((text[:at] + piece + " " + text[at:], at, at + len(piece)))
+    return out
+
+
+def test_forms_that_no_pattern_has(spark, sf01, tagger):
+    d = pii._digits
+    forms = [
+        lambda r: f"({d(r, 3)}) {d(r, 3)}-{d(r, 4)}", lambda r: f"{d(r, 3)}-{d(r, 3)}-{d(r, 4)}", lambda r: f"{d(r, 3)}.{d(r, 3)}.{d(r, 4)}",
+        lambda r: f"0{d(r, 3)} {d(r, 7)}", lambda r: f"0{d(r, 2)} {d(r, 8)}",
+    ]
+    shares = []
+    for make in forms:
+        rows = _planted(spark, sf01, make)
+        found = pii.tag_spans(tagger, [x[0] for x in rows])
+        shares.append(sum(("phone", a, b) in f for f, (_, a, b) in zip(found, rows, strict=True)) / len(rows))
+    assert min(shares) >= 0.6 and sum(shares) / len(shares) >= 0.85, shares
+
+
+def test_numbers_that_are_nobodys(spark, sf01, tagger):
+    d = pii._digits
+    day = lambda r: f"20{r.randint(10, 29)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"
+    forms = [
+        lambda r: f"978-3-16-{d(r, 6)}-{d(r, 1)}", lambda r: f"978-{d(r, 1)}-{d(r, 4)}-{d(r, 4)}-{d(r, 1)}", lambda r: f"{d(r, 1)}-{d(r, 3)}-{d(r, 5)}-{d(r, 1)}", day,
+        lambda r: f"{day(r)} - {day(r)}", lambda r: f"{d(r, 3)}-{d(r, 7)}-{d(r, 7)}", lambda r: f"INV-2023-{d(r, 6)}",
+    ]
+    shares = []
+    for make in forms:
+        rows = _planted(spark, sf01, make)
+        found = pii.tag_spans(tagger, [x[0] for x in rows])
+        shares.append(sum(any(x < b and y > a for _, x, y in f) for f, (_, a, b) in zip(found, rows, strict=True)) / len(rows))
+    assert max(shares) <= 0.12 and sum(shares) / len(shares) <= 0.04, shares
+
+
+def test_dates_are_no_phone_numbers():
+    for piece in ("2020-01-02", "2020-01-02 - 2021-03-04", "1998-2004"):
+        assert not pii.plausible("phone", piece)
+    for piece in ("555-010-2020", "020 7946 0123", "(020) 1234567"):
+        assert pii.plausible("phone", piece)
