@@ -76,6 +76,35 @@ def asof(
     return rows.select("row.*", *[F.when(near, F.col(f"value.`{v}`")).alias(v) for v in values])
 
 
+def covered(points: DataFrame, intervals: DataFrame, time: str, start: str, end: str, name: str = "intervals") -> DataFrame:
+    """Every row of ``points`` with the number of ``intervals`` that contain its time, ends included; 0 for a null time.
+
+    An interval with a null end, or one that ends before it starts, contains nothing.
+
+    No pair is made: a start adds one from its time on, an end takes one away
+    after its time, and a point gets the sum up to its own time. As in ``asof``,
+    sums are taken within a bucket of time, and what stands before a bucket is
+    one more row in it, from one row for each bucket.
+    """
+    low, high = micros(F.col(start)), micros(F.col(end))
+    ends = F.array(F.struct(low.alias("at"), F.lit(1).alias("by")), F.struct((high + 1).alias("at"), F.lit(-1).alias("by")))
+    steps = intervals.where(low <= high).select(F.explode(ends).alias("x")).groupBy("x.at").agg(F.sum("x.by").alias("by"))
+    ours = points.select(micros(F.col(time)).alias("at"), F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"))
+    width = bucket_width(ours.select("at").unionAll(steps.select("at")), "at")
+    bucket = F.floor(F.col("at") / F.lit(width)).cast("long")
+    known, steps = ours.where("at is not null").withColumn("bucket", bucket), steps.withColumn("bucket", bucket)
+    asked = known.select("bucket", F.lit(0).cast("long").alias("by")).distinct()
+    buckets = steps.select("bucket", "by").unionByName(asked).groupBy("bucket").agg(F.sum("by").alias("by"))
+    before = F.sum("by").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = buckets.select("bucket", before.alias("by")).where("by is not null")
+    rows = known.unionByName(steps, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # all of a time and before it, in which a row that is carried has no time
+    upto = Window.partitionBy("bucket").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("n", F.coalesce(F.sum("by").over(upto), F.lit(0))).where("row is not null").select("row", "n")
+    rows = rows.unionByName(ours.where("at is null").select("row", F.lit(0).cast("long").alias("n")))
+    return rows.select("row.*", F.col("n").alias(name))
+
+
 def within_interval(
     points: DataFrame, intervals: DataFrame, time: str, start: str, end: str, keys: Sequence[str] = (), width: int | None = None
 ) -> DataFrame:

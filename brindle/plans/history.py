@@ -69,8 +69,7 @@ def visitors_at_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many clients had begun and not ended their clicks when an event happened: intervals from none to months, no key."""
     visits = _read(spark, sf_dir, "clicks").where("client_id is not null").groupBy("client_id").agg(F.min("ts").alias("opened"), F.max("ts").alias("closed"))
     events = _read(spark, sf_dir, "events").select("event_id", "ts")
-    found = temporal.within_interval(events, visits, "ts", "opened", "closed").groupBy("event_id").agg(F.count("*").alias("visitors"))
-    return events.select("event_id").join(found, "event_id", "left").fillna(0, ["visitors"])
+    return temporal.covered(events, visits, "ts", "opened", "closed", "visitors").groupBy("event_id").agg(F.sum("visitors").alias("visitors"))
 
 
 _LAST_DAYS = "CAST(sum(CAST(floor({amount} * 100 + 0.5::DOUBLE) AS BIGINT)) OVER (PARTITION BY {key} ORDER BY {at} RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS BIGINT)"

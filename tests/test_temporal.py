@@ -84,3 +84,20 @@ def test_rolling_sum(spark, bucket):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
     with pytest.raises(ValueError):
         temporal.rolling_sum(df, ["k"], "t", "amount", 7, 2)
+
+
+def test_numbers_of_intervals(spark, monkeypatch):
+    """As many as the pairs, without any pair; null and equal times, intervals of an instant or upside down, several buckets."""
+    r = random.Random(7)
+    points = rows(8, 80, minutes=300)
+    spans = [(t, None if i % 11 == 0 or not t else t + timedelta(minutes=r.choice([-5, 0, 0, 1, 30, 250]))) for i, (_, t, _) in enumerate(rows(9, 60, minutes=300))]
+    dots = spark.createDataFrame(points, "k long, t timestamp_ntz, id long")
+    intervals = spark.createDataFrame(spans, "s timestamp_ntz, e timestamp_ntz")
+    for size in (200_000, 10):
+        monkeypatch.setattr(temporal, "BUCKET_ROWS", size)
+        out = temporal.covered(dots, intervals, "t", "s", "e", "n")
+        want = sorted((i, sum(bool(t and s and e and s <= t <= e) for s, e in spans)) for _, t, i in points)
+        assert sorted((x.id, x.n) for x in out.collect()) == want and any(n for _, n in want)
+        assert "Join" not in plan(out)
+    assert {x.n for x in temporal.covered(dots, intervals.limit(0), "t", "s", "e", "n").collect()} == {0}
+    assert temporal.covered(dots.limit(0), intervals, "t", "s", "e", "n").count() == 0
