@@ -15,16 +15,18 @@ SECOND = 1_000_000
 def session_stream(rows: DataFrame, keys: Sequence[str], time: str, gap: int, late: str, sums: Mapping[str, str] | None = None) -> DataFrame:
     """Sessions of a stream: keys, start, end, n, and the sum of each column of ``sums`` under its name.
 
-    A row belongs to the session of the rows less than ``gap`` microseconds
-    before or after it; a session ends that long after its last row, and is
+    A row belongs to the session of the rows less than ``gap`` microseconds (two
+    at least) before or after it; a session ends that long after its last row, and is
     given out when the watermark, ``late`` behind the newest row, has passed its
     end. ``time`` is a timestamp with a zone. Rows before the watermark are
     dropped and counted (``Replay.dropped``), rows without a time as well.
     """
-    window = F.session_window(time, f"{gap} microseconds")
-    grouped = rows.withWatermark(time, late).groupBy(window.alias("session"), *keys)
+    # Spark merges sessions that touch, so that rows exactly the gap apart would be in one
+    window = F.session_window(time, f"{gap - 1} microseconds")
+    # no row that still counts comes at the watermark itself, where a session would end a microsecond early
+    grouped = rows.withWatermark(time, f"{late} 1 millisecond").groupBy(window.alias("session"), *keys)
     out = grouped.agg(F.count("*").alias("n"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()])
-    return out.select(*keys, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n", *(sums or {}))
+    return out.select(*keys, F.col("session.start").alias("start"), F.timestamp_add("MICROSECOND", F.lit(1), F.col("session.end")).alias("end"), "n", *(sums or {}))
 
 
 def sessions(rows: DataFrame, keys: Sequence[str], time: str, gap: int, sums: Mapping[str, str] | None = None) -> DataFrame:

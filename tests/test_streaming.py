@@ -121,3 +121,13 @@ def test_state_of_a_join_levels_off(spark):
     build = lambda read: matching.followed(read().where("kind = 'view'"), read().where("kind = 'buy'"), ["user"], "ts", "10 MINUTES", "30 minutes", ["n"])
     held = replay(log(spark, rows, CLICKS), F.col("p"), 12, build).state_rows()
     assert max(held[8:]) <= max(held[:8]) < 60
+
+
+def test_rows_exactly_the_gap_apart_are_two_sessions(spark):
+    """In one part, within a session of another part, and a microsecond less."""
+    gap = datetime.timedelta(seconds=300)
+    at = [("a", 0 * gap, 1), ("a", gap, 1), ("a", 2 * gap, 2), ("b", 0 * gap, 1), ("b", gap - datetime.timedelta(microseconds=1), 2)]
+    df = log(spark, [(u, "view", START + t, i, p) for i, (u, t, p) in enumerate(at)], CLICKS)
+    out = replay(df, F.col("p"), 2, lambda read: windows.session_stream(read(), ["user"], "ts", 300 * windows.SECOND, "1 hour"), far(spark)).table
+    want = windows.sessions(df, ["user"], "ts", 300 * windows.SECOND)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 4
