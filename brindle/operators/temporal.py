@@ -13,10 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import stored
+
 #: Rows of both sides that a bucket of time is meant for, and the most buckets there are.
 BUCKET_ROWS, BUCKETS = 200_000, 100_000
 #: An interval is matched in at most about so many bins.
 BINS = 8
+#: Points or intervals of a bin that are compared in one group, and pairs that a task of a join is meant for.
+SIDE, PAIRS = 2_000, 1_000_000
 
 
 def micros(time: Column) -> Column:
@@ -118,6 +122,12 @@ def within_interval(
     level is BINS times as wide, so an interval takes part in BINS + 2 bins at
     most however long it is, and a point in one for each level that occurs.
     That makes an equality join on level and bin, and what it finds is checked.
+
+    A key may have very many of both in one bin. There, points and intervals are
+    dealt into blocks of about SIDE rows, and each block of the ones meets each
+    block of the others in a group of its own. Groups are dealt over tasks by
+    the number of pairs they hold, not by their bytes: the result may be far
+    larger than what is joined.
     """
     inside = [F.col(c).isNotNull() for c in (start, end, *keys)]
     low, high = micros(F.col(start)), micros(F.col(end))
@@ -132,7 +142,8 @@ def within_interval(
     level = F.ceil(F.log(float(BINS), bins) - 1e-9).cast("int")
     scale = lambda lv: F.lit(width) * F.pow(F.lit(float(BINS)), lv).cast("long")
     taken = {c.lower() for c in (*points.columns, *intervals.columns)}
-    lv, bn = (next(n for n in (x, *(f"{x}_{i}" for i in range(len(taken) + 1))) if n not in taken) for x in ("level", "bin"))
+    free = lambda x: next(n for n in (x, *(f"{x}_{i}" for i in range(len(taken) + 1))) if n not in taken)
+    lv, bn, ours, theirs, own = map(free, ("level", "bin", "points", "intervals", "own"))
     rows = rows.withColumn(lv, level)
     first, last = F.floor(low / scale(F.col(lv))).cast("long"), F.floor(high / scale(F.col(lv))).cast("long")
     rows = rows.withColumn(bn, F.explode(F.sequence(first, last)))
@@ -140,7 +151,24 @@ def within_interval(
     at = micros(F.col(time))
     dots = points.where(at.isNotNull()).withColumn(lv, F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     dots = dots.withColumn(bn, F.floor(at / scale(F.col(lv))).cast("long"))
-    return dots.join(rows, [*keys, lv, bn]).where(at.between(low, high)).drop(lv, bn)
+    group = [*keys, lv, bn]
+    counts = [df.groupBy(*group).agg(F.count("*").alias(n)) for df, n in ((dots, ours), (rows, theirs))]
+    counts = stored(counts[0].join(counts[1], group), "bins")
+    held = counts.agg(F.sum(F.col(ours) * F.col(theirs) + F.col(ours) + F.col(theirs))).first()[0] or 0
+    blocks = {n: F.ceil(F.col(n) / F.lit(SIDE)).cast("int") for n in (ours, theirs)}
+    # one row for each SIDE rows of either table at most
+    many = counts.where((F.col(ours) > SIDE) | (F.col(theirs) > SIDE)).select(*group, *[c.alias(n) for n, c in blocks.items()])
+    tasks = max(1, min(100_000, -(-int(held) // PAIRS)))
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        """Each row in a block of its own side, once for each block of the other."""
+        df = df.withColumn(own, F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(many), group, "left")
+        df = df.withColumn(mine, F.coalesce(F.pmod(F.col(own), F.col(mine)), F.lit(0)).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
+        return df.drop(own).repartition(tasks, *group, ours, theirs)
+
+    out = dealt(dots, ours, theirs).join(dealt(rows, theirs, ours), [*group, ours, theirs])
+    return out.where(at.between(low, high)).drop(lv, bn, ours, theirs)
 
 
 def rolling_sum(df: DataFrame, keys: Sequence[str], time: str, amount: str, span: int, bucket: int, name: str = "rolling") -> DataFrame:

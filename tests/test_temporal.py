@@ -101,3 +101,17 @@ def test_numbers_of_intervals(spark, monkeypatch):
         assert "Join" not in plan(out)
     assert {x.n for x in temporal.covered(dots, intervals.limit(0), "t", "s", "e", "n").collect()} == {0}
     assert temporal.covered(dots.limit(0), intervals, "t", "s", "e", "n").count() == 0
+
+
+def test_a_hot_key_is_many_groups(spark, monkeypatch):
+    """One key and one bin: blocks of either side, in more than one task; exact copies stay, none come."""
+    monkeypatch.setattr(temporal, "SIDE", 7)
+    monkeypatch.setattr(temporal, "PAIRS", 50)
+    dots = spark.createDataFrame([(1, START + timedelta(minutes=i % 40), i % 45) for i in range(60)] + [(2, START, 99)], "k long, t timestamp_ntz, id long")
+    intervals = spark.createDataFrame([(k, START + timedelta(minutes=i), START + timedelta(minutes=i + 60), i) for k in (1, 2) for i in range(0, 20)], "k long, s timestamp_ntz, e timestamp_ntz, points int")
+    out = temporal.within_interval(dots, intervals, "t", "s", "e", ["k"])
+    want = sorted((r.id, i.points) for r in dots.collect() for i in intervals.collect() if r.k == i.k and i.s <= r.t <= i.e)
+    assert sorted((x.id, x.points) for x in out.collect()) == want
+    assert out.columns == ["k", "t", "id", "s", "e", "points"]
+    sizes = [n for n in out.rdd.glom().map(len).collect() if n]
+    assert len(sizes) > 4 and max(sizes) < len(want) / 3
