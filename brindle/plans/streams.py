@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators.temporal import micros
 from brindle.streaming import lists, matching, register, windows
+from brindle.streaming.ordered import groups_of
 from brindle.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,7 +134,8 @@ def ttl_register_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F01 as a stream: events that arrive out of order give the reads of the table."""
     rows, arrival = _shuffled(_read(spark, sf_dir, "events").where("event_type IS NOT NULL"))
     rows = rows.select("owner", "ms", "seq", (F.col("event_type") == "error").alias("is_write"), F.col("value").cast("string").alias("value"))
-    out = replay(rows, parted(rows, arrival), PARTS, lambda read: register.reads(read(), 50_000_000, "3 days"), _end(rows)).table
+    groups = groups_of(rows)
+    out = replay(rows, parted(rows, arrival), PARTS, lambda read: register.reads(read(), 50_000_000, "3 days", groups), _end(rows)).table
     return out.where("seq >= 0").select(F.col("owner").alias("user_id"), F.col("seq").alias("event_id"), F.col("got").cast("double").alias("got"))
 
 
@@ -151,5 +153,6 @@ def cart_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, arrival = _shuffled(_read(spark, sf_dir, "events"))
     act = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "clear").otherwise("add")
     rows = rows.select("owner", "ms", "seq", act.alias("act"), (F.floor("value") % 7).cast("long").cast("string").alias("item"))
-    out = replay(rows, parted(rows, arrival), PARTS, lambda read: lists.lists(read(), "3 days"), _end(rows)).table
+    groups = groups_of(rows)
+    out = replay(rows, parted(rows, arrival), PARTS, lambda read: lists.lists(read(), "3 days", groups), _end(rows)).table
     return lists.latest(out.where("seq >= 0")).select(F.col("owner").alias("user_id"), F.col("item").cast("long").alias("item"), "position")

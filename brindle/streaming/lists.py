@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from brindle.streaming.ordered import Rules, ordered
+from brindle.streaming.ordered import GROUPS, Rules, ordered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EVENT = "ms long, seq long, act string, item string"
@@ -32,16 +32,16 @@ def _settle(held: tuple | None, event: Row) -> list[tuple]:
     return [(event.ms, event.seq, list(held[0]) if held else [])]
 
 
-RULES = Rules("items array<string>", "ms long, seq long, items array<string>", _apply, _settle)
+RULES = Rules("ms long, seq long, items array<string>", _apply, _settle)
 
 
-def lists(log: DataFrame, late: str = "10 seconds") -> DataFrame:
+def lists(log: DataFrame, late: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """owner, ms, seq, items: an owner's list after the events that became due together, by the last of them.
 
     For a stream of (owner, ms, seq, act, item). The row of an owner with the
     greatest (ms, seq) is its list.
     """
-    return ordered(log, RULES, EVENT, late)
+    return ordered(log, RULES, EVENT, late, groups)
 
 
 def latest(changes: DataFrame) -> DataFrame:

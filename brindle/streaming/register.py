@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 
 from brindle.operators.review import TTL_MS
-from brindle.streaming.ordered import Rules, ordered
+from brindle.streaming.ordered import GROUPS, Rules, ordered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EVENT = "ms long, seq long, is_write boolean, value string"
@@ -29,12 +29,12 @@ def _rules(ttl: int) -> Rules:
         fresh = held is not None and event.ms - held[1] <= ttl
         return None, [(event.seq, held[0] if fresh else None)]
 
-    return Rules("value string, at long", "seq long, got string", apply, kept_until=lambda held: held[1] + ttl)
+    return Rules("seq long, got string", apply, kept_until=lambda held: held[1] + ttl)
 
 
-def reads(log: DataFrame, ttl: int = TTL_MS, late: str = "10 seconds") -> DataFrame:
+def reads(log: DataFrame, ttl: int = TTL_MS, late: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """owner, seq, got: what each read returns, for a stream of (owner, seq, ms, is_write, value).
 
     Those later than ``late`` behind the newest are left out.
     """
-    return ordered(log, _rules(ttl), EVENT, late)
+    return ordered(log, _rules(ttl), EVENT, late, groups)

@@ -143,3 +143,14 @@ def test_a_join_of_streams_compares_near_rows_only(spark):
     want = [(v[3], b[3]) for v in rows for b in rows if v[1] == "view" and b[1] == "buy" and datetime.timedelta(0) <= b[2] - v[2] <= datetime.timedelta(minutes=10)]
     assert sorted((r.n, r.then_n) for r in found.collect()) == sorted(want)
     assert "then__bin" in found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].splitlines()[0]
+
+
+def test_owners_share_a_key_of_the_state(spark):
+    """As the table, with far fewer rows in state than owners, events that wait and values that stay."""
+    r = random.Random(5)
+    rows = [(r.choice([None, *map(str, range(90))]), seq, ms, r.random() < 0.5, r.choice([None, "x", "y"]), 1 + ms // 10_000) for seq in range(400) for ms in [r.randrange(40_000)]]
+    df, last = log(spark, rows, READS), log(spark, [(None, -1, 10**12, True, None, 0)], READS)
+    out = replay(df, F.col("p"), 4, lambda read: register.reads(read(), 20_000, "5 seconds", groups=2), last)
+    want = review.register_reads(df, "owner", F.col("ms"), ["ms", "seq"], F.col("is_write"), "value", ttl=20_000)
+    assert {(x.owner, x.seq): x.got for x in out.table.collect()} == {(x.owner, x.seq): x.got for x in want.collect()}
+    assert out.dropped() == 0 and max(out.state_rows()) < 45
