@@ -41,12 +41,16 @@ def write_index(docs: DataFrame, doc: str, text: str, path: str) -> Index:
     """
     t = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
     t = t.withColumn("size", F.size("terms").cast("long"))
-    rows = t.select("doc", "size", F.explode("terms").alias("term")).groupBy("doc", "size", "term").agg(F.count("*").alias("n"))
+    # before a plain explode Spark puts a test for empty arrays, which cuts each text once more
+    rows = t.select("doc", "size", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("doc", "size", "term").agg(F.count("*").alias("n"))
     rows = rows.select("term", "doc", "n", "size", _shard(F.col("term")).alias("shard"))
     rows.repartition(F.col("shard"), F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(f"{path}/postings")
     postings = docs.sparkSession.read.parquet(f"{path}/postings")
     postings.groupBy("term").agg(F.count("*").alias("docs")).orderBy("term").write.parquet(f"{path}/vocabulary")
-    t.agg(F.count("*").alias("docs"), F.avg("size").alias("mean")).write.parquet(f"{path}/whole")
+    # texts are cut into terms once: their sizes add up to what the postings count, and texts without any have none
+    sizes = postings.agg(F.sum("n").alias("all"))
+    whole = docs.agg(F.count("*").alias("docs")).join(F.broadcast(sizes))
+    whole.select("docs", (F.coalesce("all", F.lit(0)) / F.when(F.col("docs") > 0, F.col("docs"))).alias("mean")).write.parquet(f"{path}/whole")
     return read_index(docs.sparkSession, path)
 
 

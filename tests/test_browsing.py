@@ -153,3 +153,16 @@ def test_a_batch_replayed_after_a_failure_is_there_once(spark, tmp_path):
     # a batch that was entered is not written again, even with other rows
     ledger.write_batch(rows(100, 200), 0, out)
     assert ids() == list(range(15))
+
+
+def test_an_index_reads_each_text_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([(0, "a b a"), (1, ""), (2, None), (3, "b c, d")], "id long, text string")
+    index = search.write_index(docs.withColumn("text", F.udf(count, "string")("text")), "id", "text", f"file://{tmp_path}/once")
+    assert read.value == 4
+    assert [tuple(r) for r in index.whole.collect()] == [(4, 1.5)]
