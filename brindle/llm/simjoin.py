@@ -12,9 +12,11 @@ Empty projections say nothing, and projections of shingles from passages that
 many documents share say little; both would gather unlike sets. With t groups
 more than needed, similar sets agree in t + 1 groups; a set with at most t
 groups that have such projections leaves those out, since one of the others
-must agree. A set with more such groups uses a scheme of another seed as well: a
-partner that agrees with it in those projections only has as many of them and
-goes there too. The first seeds leave out empty projections and common
+must agree. Here t follows from the set's own size: a small one of the band has
+fewer differences to any partner, so more groups to spare for its many empty
+projections. A set with more such groups uses a scheme of another seed as well: a
+partner that agrees with it in those projections only has more of them than
+either can spare, and goes there too. The first seeds leave out empty projections and common
 shingles, the next ones empty projections only, the last nothing, so no link is
 lost. Which shingles are common is learnt from a sample; any choice is right, as
 long as it is the same for all documents.
@@ -45,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hot_join, map_arrow, scratch, written
+from brindle.llm.common import freed, hot_join, map_arrow, scratch, written
 from brindle.llm.components import components
 from brindle.llm.shingles import digest, mix, sets
 
@@ -70,31 +72,40 @@ class Scheme:
     """Parameters of one instance, for sets up to ``largest`` elements: those with the fewest signatures."""
 
     def __init__(self, largest: int, percent: int):
-        self.k = (100 - percent) * 2 * largest // (100 + percent)
-        usual = largest * (percent / 100) ** 1.5  # sets of the band and of the one below
-        cost, self.n1, self.n2, self.k2, self.spare = min(
-            (c, n1, n2, k2, spare)
+        self.largest, self.percent = largest, percent
+        self.k = self._differences(largest)
+        p = percent / 100
+        # sets of the band and of the one below, from end to end
+        usual = [(n, self._differences(n)) for n in (max(1, round(largest * p**x)) for x in (2, 1.5, 1, 0.5, 0))]
+        cost, self.n1, self.n2, self.k2 = min(
+            (sum(self._cost(size, k, n1, n2, k2) for size, k in usual), n1, n2, k2)
             for k2 in range(min(self.k, 1), min(self.k, 6) + 1)
             for n2 in range(k2 + 1, k2 + 4)
             for need in [self.k // (k2 + 1) + 1]
-            for spare in sorted({need * x // 40 for x in range(41)})
-            for n1 in [need + spare]
-            for c in [self._cost(usual, n1, n2, k2, spare)]
+            for n1 in sorted({need + need * x // 40 for x in range(41)})
         )
         subsets = list(itertools.combinations(range(self.n2), self.n2 - self.k2))
         self.choose = np.zeros((self.n2, len(subsets)), bool)
         for j, parts in enumerate(subsets):
             self.choose[list(parts), j] = True
 
+    def _differences(self, size: int) -> int:
+        """In how many elements a set can differ from a similar one of at most ``largest``."""
+        return (100 - self.percent) * (size + min(size * 100 // self.percent, self.largest)) // (100 + self.percent)
+
+    def spare(self, size: int) -> int:
+        """Groups that a set of that size can do without: one more agrees with any similar set."""
+        return self.n1 - 1 - self._differences(size) // (self.k2 + 1)
+
     @staticmethod
-    def _cost(size: float, n1: int, n2: int, k2: int, spare: int) -> float:
-        """Signatures to expect, with those of further seeds."""
+    def _cost(size: int, k: int, n1: int, n2: int, k2: int) -> float:
+        """Signatures to expect of a set that differs in at most k elements, with those of further seeds."""
         subsets = math.comb(n2, k2)
         mean = size * (n2 - k2) / (n1 * n2)
         small = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(LEAST))
         group = min(1.0, small * subsets)
         spread = math.sqrt(n1 * group * (1 - group)) + 1e-9
-        further = 0.5 * math.erfc((spare + 0.5 - n1 * group) / spread / math.sqrt(2))
+        further = 0.5 * math.erfc((n1 - 1 - k // (k2 + 1) + 0.5 - n1 * group) / spread / math.sqrt(2))
         return n1 * subsets / max(0.02, 1 - further)
 
 
@@ -151,7 +162,7 @@ def _instance(members: np.ndarray, rare: np.ndarray, instance: int, s: Scheme) -
         place = np.arange(count.size, dtype=np.uint64).reshape(count.shape) + np.uint64(seed << 40) + np.uint64(instance << 48)
         sig = mix(mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + count.astype(np.uint64))
         kept.append(sig[keep])
-        if small.any(axis=1).sum() <= s.spare:
+        if small.any(axis=1).sum() <= s.spare(len(members)):
             break
     return np.concatenate(kept)
 
@@ -476,7 +487,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = written(_features(docs, words), "features", keep=True)
     named = features.where("n_shingles > 0 and doc_id is not null")
-    with scratch(docs.sparkSession):
+    with freed(docs.sparkSession), scratch(docs.sparkSession):
         named_groups = written(_components(docs, named, words, percent), "named", keep=True)
     empty = F.col("n_shingles") == 0
     out = hot_join(named, named_groups, ["h1", "h2"], "n").select("doc_id", "n_shingles", F.col("component").alias("component_id"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -229,3 +230,35 @@ def test_hubs_and_hot_keys(spark, monkeypatch):
     assert {out[x] for x in range(5, 290)} == {5} and out[300] == 5 and out[401] == 400
     rows = [(i, "same words in each of them", ) for i in range(60)] + [(100 + i, "") for i in range(20)] + [(200, "other words here and there")]
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_from_any_end_of_a_band_share_no_signature(percent):
+    """Else documents of one size are candidates of each other, in a component that grows with the table."""
+    r = np.random.default_rng(5)
+    for n in (400, 3400, 5298):
+        found = [np.unique(simjoin.signatures(np.unique(r.integers(1, 1 << 62, n, dtype=np.uint64)), percent)) for _ in range(30)]
+        assert np.unique(np.concatenate(found), return_counts=True)[1].max() == 1
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_set_and_the_largest_it_reaches_share_a_signature(percent):
+    """At the limit of similarity, where the smaller one has the most groups to spare."""
+    r = np.random.default_rng(6)
+    for n in [*range(4, 120), *range(120, 700, 23)]:
+        b = np.unique(r.integers(1, 1 << 62, n * 100 // percent, dtype=np.uint64))
+        a = np.sort(r.permutation(b)[:n])
+        for share in (0, 0.5) if len(a) < len(b) else ():
+            table = simjoin.table_of(a[: int(share * n)])
+            assert len(np.intersect1d(simjoin.signatures(a, percent, table), simjoin.signatures(b, percent, table)))
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    files = lambda: set(re.findall(r"/shuffle_([0-9]+)_", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before = files()
+    simjoin.similar(spark.createDataFrame(near_copies(), "doc_id long, text string"))
+    until = time.monotonic() + 10  # they are removed in the background
+    while len(left := files() - before) > 1 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert len(left) <= 1  # that of one sum, taken for the lazy result
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
