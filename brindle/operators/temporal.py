@@ -130,27 +130,27 @@ def within_interval(
     larger than what is joined.
     """
     inside = [F.col(c).isNotNull() for c in (start, end, *keys)]
-    low, high = micros(F.col(start)), micros(F.col(end))
-    rows = intervals.where(low <= high)
+    taken = {c.lower() for c in (*points.columns, *intervals.columns)}
+    free = lambda x: next(n for n in (x, *(f"{x}_{i}" for i in range(len(taken) + 1))) if n not in taken)
+    lv, bn, ours, theirs, own, at, low, high = map(free, ("level", "bin", "points", "intervals", "own", "at", "low", "high"))
+    # times are turned into numbers once for a row, not once for a pair; what makes the intervals is worked out once
+    rows = intervals.withColumns({low: micros(F.col(start)), high: micros(F.col(end))}).where(F.col(low) <= F.col(high))
     for c in inside:
         rows = rows.where(c)
+    rows, length = stored(rows, "intervals"), F.col(high) - F.col(low)
     if width is None:
-        median = rows.select((high - low).alias("n")).agg(F.percentile_approx("n", 0.5, 1000)).first()[0]
+        median = rows.select(length.alias("n")).agg(F.percentile_approx("n", 0.5, 1000)).first()[0]
         width = max(1, int(median or 0) // 2)
     # the least level on which it is not longer than BINS bins
-    bins = F.greatest(F.lit(1.0), (high - low + 1) / F.lit(float(width * BINS)))
+    bins = F.greatest(F.lit(1.0), (length + 1) / F.lit(float(width * BINS)))
     level = F.ceil(F.log(float(BINS), bins) - 1e-9).cast("int")
     scale = lambda lv: F.lit(width) * F.pow(F.lit(float(BINS)), lv).cast("long")
-    taken = {c.lower() for c in (*points.columns, *intervals.columns)}
-    free = lambda x: next(n for n in (x, *(f"{x}_{i}" for i in range(len(taken) + 1))) if n not in taken)
-    lv, bn, ours, theirs, own = map(free, ("level", "bin", "points", "intervals", "own"))
     rows = rows.withColumn(lv, level)
-    first, last = F.floor(low / scale(F.col(lv))).cast("long"), F.floor(high / scale(F.col(lv))).cast("long")
+    first, last = F.floor(F.col(low) / scale(F.col(lv))).cast("long"), F.floor(F.col(high) / scale(F.col(lv))).cast("long")
     rows = rows.withColumn(bn, F.explode(F.sequence(first, last)))
     levels = sorted(r[0] for r in rows.select(lv).distinct().collect())  # a few: log of the longest interval
-    at = micros(F.col(time))
-    dots = points.where(at.isNotNull()).withColumn(lv, F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    dots = dots.withColumn(bn, F.floor(at / scale(F.col(lv))).cast("long"))
+    dots = points.withColumn(at, micros(F.col(time))).where(F.col(at).isNotNull()).withColumn(lv, F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    dots = dots.withColumn(bn, F.floor(F.col(at) / scale(F.col(lv))).cast("long"))
     group = [*keys, lv, bn]
     counts = [df.groupBy(*group).agg(F.count("*").alias(n)) for df, n in ((dots, ours), (rows, theirs))]
     counts = stored(counts[0].join(counts[1], group), "bins")
@@ -168,7 +168,7 @@ def within_interval(
         return df.drop(own).repartition(tasks, *group, ours, theirs)
 
     out = dealt(dots, ours, theirs).join(dealt(rows, theirs, ours), [*group, ours, theirs])
-    return out.where(at.between(low, high)).drop(lv, bn, ours, theirs)
+    return out.where(F.col(at).between(F.col(low), F.col(high))).drop(lv, bn, ours, theirs, at, low, high)
 
 
 def rolling_sum(df: DataFrame, keys: Sequence[str], time: str, amount: str, span: int, bucket: int, name: str = "rolling") -> DataFrame:

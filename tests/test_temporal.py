@@ -115,3 +115,14 @@ def test_a_hot_key_is_many_groups(spark, monkeypatch):
     assert out.columns == ["k", "t", "id", "s", "e", "points"]
     sizes = [n for n in out.rdd.glom().map(len).collect() if n]
     assert len(sizes) > 4 and max(sizes) < len(want) / 3
+
+
+def test_a_pair_costs_no_conversion_and_intervals_are_made_once(spark):
+    """The check of a pair compares numbers, and what makes the intervals is no part of the last plan."""
+    dots = spark.createDataFrame([(1, START, 1)], "k long, t timestamp_ntz, at int")
+    intervals = spark.createDataFrame([(1, START, START + timedelta(minutes=5), 7)] * 2, "k long, s timestamp_ntz, e timestamp_ntz, low int").distinct()
+    out = temporal.within_interval(dots, intervals, "t", "s", "e", ["k"])
+    optimized = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in optimized.splitlines() if "Join Inner" in x]
+    assert joins and "timestampdiff" not in "".join(joins).lower() and "Aggregate" not in optimized
+    assert out.columns == ["k", "t", "at", "s", "e", "low"] and [(r.at, r.low) for r in out.collect()] == [(1, 7)]
